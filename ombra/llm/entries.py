@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ombra.llm import simhash
+from ombra.llm import pieces, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": simhash.op6_simhash}
+    return {
+        "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op6_simhash": simhash.op6_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
