@@ -57,7 +57,8 @@ def map_rows(df: DataFrame, columns: list[str | Column], schema: str, rows: Call
             for at in range(0, len(out), 4096):
                 yield to_batch(out[at : at + 4096], arrow)
 
-    return df.select(*columns).mapInArrow(run, kind)
+    picked = [(F.col(c) if isinstance(c, str) else c).alias(f"c{n}") for n, c in enumerate(columns)]
+    return df.select(*picked).mapInArrow(run, kind)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
