@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ombra.llm import pieces, secrets, simhash, token_counts
+from ombra.llm import licenses, pieces, secrets, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_licenses": licenses.op2_licenses,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_token_counts": token_counts.op4_token_counts,
         "op6_simhash": simhash.op6_simhash,
