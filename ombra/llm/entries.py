@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ombra.llm import licenses, media, mixing, pieces, secrets, simhash, token_counts
+from ombra.llm import langid, licenses, media, mixing, pieces, secrets, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_simhash": simhash.op6_simhash,
         "op7_media": media.op7_media,
+        "op9_langid": langid.op9_langid,
     }
 
 
