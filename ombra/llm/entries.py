@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ombra.llm import langid, licenses, media, mixing, pieces, secrets, simhash, token_counts
+from ombra.llm import langid, licenses, media, mixing, nn_descent, pieces, secrets, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_simhash": simhash.op6_simhash,
         "op7_media": media.op7_media,
+        "op8_nn_descent": nn_descent.op8_nn_descent,
         "op9_langid": langid.op9_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op5_mixing": mixing.OP5_SQL, "op8_nn_descent": nn_descent.OP8_SQL}
