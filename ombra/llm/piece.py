@@ -19,8 +19,8 @@ import numpy as np
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of the per-process word tables; a full table is emptied, which costs time but no result.
-TABLE = 200_000
+#: Entries of a generation of the per-process word tables; their bound costs time but no result.
+TABLE = 250_000
 #: Words longer than this many characters aren't kept in a table.
 LONG = 64
 
@@ -131,6 +131,8 @@ class Pieces:
         self.width = np.array([len(s) for s in self.surface], np.int64)
         self.text = [str(n) for n in range(len(names))]
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(MARK in p.lstrip(MARK) for p in self.id) else re.compile(r"(?s).+")
+        #: Adjacent characters somewhere in a piece: a cut between two others can't be crossed by a merge.
+        self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.words, self.sizes = _Table(self.word), _Table(self.word_count)
 
     # -- normalisation
@@ -173,33 +175,57 @@ class Pieces:
 
     # -- merging
 
-    def symbols(self, word: str) -> list[str]:
-        """The symbols left when no adjacent pair is a piece."""
-        sym: list[str] = list(word)
-        n, rank = len(sym), self.rank
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank.get(sym[i] + sym[i + 1])) is not None]
+    def merged(self, word: str) -> tuple[list[int], int]:
+        """Ends of the symbols by their starts (0 where no symbol starts) once no adjacent pair is a piece, and their number.
+
+        A heap entry packs a pair's rank, start and end: the lowest rank comes first, then the leftmost.
+        The symbols are a linked list, an end being the next one's start; an entry whose symbols have
+        grown no longer fits the list and is passed over.
+        """
+        n, rank = len(word), self.rank.get
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        end, before, left = list(range(1, n + 1)), list(range(-1, n)), n
         while heap:
             top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or not sym[i]:
+            stop = top & mask
+            i = top >> bits & mask
+            middle = end[i]
+            if not i < middle < stop or end[middle] != stop:
                 continue
-            both = sym[i] + sym[j]
-            if rank.get(both) != top >> 32:
-                continue  # one of the two has grown since
-            sym[i], sym[j] = both, ""
-            j = after[i] = after[j]
-            if j < n:
-                before[j] = i
-                if (r := rank.get(both + sym[j])) is not None:
-                    heappush(heap, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := rank.get(sym[h] + both)) is not None:
-                heappush(heap, r << 32 | h)
-        return [s for s in sym if s]
-
-    def word(self, word: str) -> list[int]:
+            end[middle], end[i] = 0, stop
+            left -= 1
+            if stop < n:
+                before[stop] = i
+                if (r := rank(word[i : end[stop]])) is not None:
+                    heappush(heap, (r << bits | i) << bits | end[stop])
+            if i and (r := rank(word[before[i] : stop])) is not None:
+                heappush(heap, (r << bits | before[i]) << bits | stop)
+        return end, left
+
+    def symbols(self, word: str) -> list[str]:
+        """The symbols left when no adjacent pair is a piece."""
+        end, _ = self.merged(word)
+        out, at = [], 0
+        while at < len(word):
+            out.append(word[at : end[at]])
+            at = end[at]
+        return out
+
+    def stem(self, word: str) -> int:
+        """Where the closing characters begin that no piece joins to what stands before them."""
+        n = len(word)
+        while n > 1 and word[n - 2 : n] not in self.inside:
+            n -= 1
+        return n
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word; closing characters that can't merge are looked up by themselves."""
+        stem = self.stem(word)
+        if stem < len(word):
+            return sum((self.words[c] for c in word[stem:]), self.words[word[:stem]])
         out: list[int] = []
         for s in self.symbols(word):
             if (found := self.id.get(s)) is not None:
@@ -208,7 +234,7 @@ class Pieces:
                 out += [self.bytes[b] for b in s.encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return out
+        return tuple(out)
 
     def ids(self, normalised: str) -> list[int]:
         return list(chain.from_iterable(map(self.words.__getitem__, self.cut.findall(normalised))))
@@ -219,33 +245,13 @@ class Pieces:
 
     def word_count(self, word: str) -> int:
         """Initial symbols minus merges over the heap and the linked list."""
-        sym: list[str] = list(word)
-        n = left = len(sym)
-        rank = self.rank
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank.get(sym[i] + sym[i + 1])) is not None]
-        heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while heap:
-            top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or not sym[i]:
-                continue
-            both = sym[i] + sym[j]
-            if rank.get(both) != top >> 32:
-                continue
-            left -= 1
-            sym[i], sym[j] = both, ""
-            j = after[i] = after[j]
-            if j < n:
-                before[j] = i
-                if (r := rank.get(both + sym[j])) is not None:
-                    heappush(heap, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := rank.get(sym[h] + both)) is not None:
-                heappush(heap, r << 32 | h)
-        if self.bytes:
-            return left + sum(len(s.encode()) - 1 for s in sym if s and s not in self.id)
-        return len(self.word(word))
+        stem = self.stem(word)
+        if stem < len(word):
+            return sum(map(self.sizes.__getitem__, word[stem:]), self.sizes[word[:stem]])
+        end, left = self.merged(word)
+        if not self.bytes:
+            return len(self.word(word))
+        return left + sum(len(c.encode()) - 1 for i, c in enumerate(word) if end[i] == i + 1 and c not in self.id)
 
     def marked(self, text: str) -> str:
         """The normalised text."""
@@ -332,16 +338,19 @@ class Pieces:
 
 
 class _Table(dict):
-    """What ``make`` gives for a word; common words are kept, up to a bound."""
+    """What ``make`` gives for a word. Two bounded generations: a full one becomes the older, and words asked for again move to the newer."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, word: str):
-        found = self.make(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= LONG:
             if len(self) >= TABLE:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found

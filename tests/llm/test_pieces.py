@@ -9,7 +9,7 @@ from ombra.llm import piece, pieces, token_counts
 
 PATH = pieces.model_path()
 LIB = sentencepiece.SentencePieceProcessor(model_file=PATH)
-ODD = ["", " ", "  ", "   a", "a", "a  b   c ", "▁", "▁a ▁▁ b", "\n\n x\t", "é è ß ﬁ ½", "漢字かな交じり", "🌸🌸 x🌸", "\u0000a", "<s> </s> <unk> <0x41>", "x" * 3000, "ab " * 3000, " " * 70, "́̂", "​  ", "İı ſ K"]
+ODD = ["", " ", "  ", "   a", "a", "a  b   c ", "▁", "▁a ▁▁ b", "\n\n x\t", "é è ß ﬁ ½", "漢字かな交じり", "🌸🌸 x🌸", "\u0000a", "<s> </s> <unk> <0x41>", "x" * 3000, "漢字" * 3000, "a" + "!漢" * 2000, "ab " * 3000, " " * 70, "́̂", "​  ", "İı ſ K"]
 
 
 def texts():
