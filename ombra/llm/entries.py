@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ombra.llm import langid, licenses, media, mixing, nn_descent, pieces, secrets, simhash, token_counts
+from ombra.llm import langid, licenses, media, mixing, nn_descent, pieces, secrets, shards, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media": media.op7_media,
         "op8_nn_descent": nn_descent.op8_nn_descent,
         "op9_langid": langid.op9_langid,
+        "op10_shards": shards.op10_shards,
     }
 
 

@@ -74,5 +74,22 @@ def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", rows)
 
 
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, ends): ids with an end id as little-endian 16-bit integers, and the pieces' ends in bytes of the text as 32-bit ones.
+
+    A piece begins where the one before it ends, but for pieces of one source character.
+    """
+    path = path or model_path()
+
+    def rows(keys: list, texts: list) -> Iterable[tuple]:
+        model = piece.load(path)
+        for key, text in zip(keys, texts, strict=True):
+            found = model.encode(text)
+            ids = np.array([*found.ids, model.end], "<u2")
+            yield key, len(ids), ids.tobytes(), np.append(found.ends, len(text.encode())).astype("<u4").tobytes()
+
+    return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "doc_id long, n_tokens long, ids binary, ends binary", rows)
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encoded_digests(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
