@@ -25,10 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id; of rows with that id, the one whose text hashes lowest. Rows with a null id stay."""
-    first = simhash.near_duplicates(docs).where("id = component").select(F.col("id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    kept = kept.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = simhash.near_duplicates(docs).where("id = component").select("id").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
+    kept = rows.join(first, F.col("own") == F.col("id"), "left_semi")
+    kept = kept.withColumn("n", F.row_number().over(W.partitionBy("own").orderBy("key", "text"))).where("n = 1")
+    return kept.unionByName(rows.where("own is null").withColumn("n", F.lit(1))).select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
