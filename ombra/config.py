@@ -53,7 +53,6 @@ class Config:
     strict_phone: bool = False
     readmit: bool = False
     context_boost: float = 0.35
-    iban_by_country: bool = False
     dictionaries: Dictionaries = field(default_factory=Dictionaries)
     #: (term, type) pairs of the address book; each wins over everything.
     book: tuple[tuple[str, str], ...] = ()

@@ -15,6 +15,7 @@ from ombra.operators import evaluate, native, rewrite
 from ombra.operators import vault as V
 from ombra.operators.detect import book_spans
 from ombra.plans.anonymise import Anonymised, anonymise
+from ombra.plans.blocks import block_rows
 
 #: The types that occur in the driver's documents; their language is no reason to leave them.
 PLAIN = Config(categories=frozenset(("EMAIL", "CARTA", "IP", "IBAN", "CF", "PIVA")), all_languages=True)
@@ -86,13 +87,9 @@ def binary_ratio(spark, sf_dir):
 
 def block_split_lossless(spark, sf_dir):
     """Blocks of each text, joined again by offset."""
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"at": a, "block": b} for a, b in X.blocks(t or "", 1000)] for t in texts], dtype=object)
-
-    blocks = F.pandas_udf(split, "array<struct<at:int,block:string>>")
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(blocks(F.col("text"))).alias("b"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "")
-    return each.groupBy("doc_id").agg(joined.alias("text"), F.max(F.length("b.block")).cast("long").alias("longest")).select("doc_id", "text", (F.col("longest") <= 1000).alias("bounded"))
+    each = block_rows(table(spark, sf_dir, "documents"), 1000)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "block"))), lambda b: b["block"]), "")
+    return each.groupBy("doc_id").agg(joined.alias("text"), F.max(F.length("block")).cast("long").alias("longest")).select("doc_id", "text", (F.col("longest") <= 1000).alias("bounded"))
 
 
 def noise_filter(spark, sf_dir):
