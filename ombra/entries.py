@@ -260,11 +260,11 @@ def rubrica_match(spark, sf_dir):
 
 def recall_by_type(spark, sf_dir):
     """Spans made from line items, found with shifts and wrong types."""
-    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 100).alias("start"), F.col("l_returnflag").alias("type"), "l_partkey", "l_linestatus")
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 100).alias("start"), F.col("l_returnflag").alias("type"), "l_partkey", "l_linestatus", "l_discount")
     truth = item.select("doc_id", "start", (F.col("start") + 10).alias("end"), "type")
     shift = (F.col("l_partkey") % 4) * 5
     kind = F.when(F.col("l_partkey") % 7 == 0, F.col("l_linestatus")).otherwise(F.col("type"))
-    guess = item.where("l_partkey % 11 <> 0").select("doc_id", (F.col("start") + shift).alias("start"), (F.col("start") + shift + 10).alias("end"), kind.alias("type"))
+    guess = item.where("l_discount < 0.085").select("doc_id", (F.col("start") + shift).alias("start"), (F.col("start") + shift + 10).alias("end"), kind.alias("type"))
     rated = evaluate.recall(evaluate.outcomes(truth, guess))
     return rated.select(F.coalesce("type", F.lit("all")).alias("type"), "exact", "wrong_type", "partial", "missing", "spurious")
 

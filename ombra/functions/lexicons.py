@@ -81,6 +81,7 @@ contratto preventivo documento colloquio cortese gentile distinti cordiali salut
 ITALIAN_ACCENTS = "àèéìíòóùúÀÈÉÌÍÒÓÙÚ"
 ENGLISH_HINTS = "the and of to is are was were for with from by this that have has had will would shall should please dear regards".split()
 
+#: Word lists about persons, roles, places, brands and files, each used whole.
 HONORIFICS = words("""
 dottor dottore dottoressa dott dott.ssa dott.sa dr sig sig.ra sig.na signor signora signorina ing arch avv avvocato
 geom prof professor professore professoressa rag egr egregio gentile""")

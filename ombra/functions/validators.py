@@ -86,6 +86,7 @@ def key_of(value: str, kind: str) -> str:
     return date_key(value) if kind == "DATA" else base_key(value)
 
 
+#: Legal forms that don't tell organisations apart.
 LEGAL_FORMS = re.compile(
     r"\b(?:s\.?\s*p\.?\s*a\.?|s\.?\s*r\.?\s*l\.?s?|s\.?\s*n\.?\s*c\.?|s\.?\s*a\.?\s*s\.?|s\.?\s*c\.?|onlus|aps|odv|ets"
     r"|s\.?\s*coop\.?|societa|società|impresa|ltd|llc|inc|corp|gmbh|ag|plc)\b"

@@ -92,8 +92,8 @@ WITH e AS (SELECT DISTINCT p_brand, value FROM (SELECT p_brand, p_name AS value
 SELECT p_brand, value, min(other) AS related_to FROM p GROUP BY p_brand, value HAVING count(*) = 1""",
     "rubrica_match": r"SELECT replace(lower(m), '  ', ' ') AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '([^\pL\pN])', '\1\1', 'g'), '(?i)(?:^|[^\pL\pN])(password|license|credit  card|phone|the  ou)(?:$|[^\pL\pN])', 1)) AS m FROM documents) GROUP BY 1",
     "recall_by_type": """
-WITH t AS (SELECT row_number() OVER () AS id, l_orderkey AS d, l_linenumber * 100 AS s, l_linenumber * 100 + 10 AS e, l_returnflag AS type, l_partkey AS p, l_linestatus AS ls FROM lineitem
-), g AS (SELECT id, d, s + (p % 4) * 5 AS s, e + (p % 4) * 5 AS e, CASE WHEN p % 7 = 0 THEN ls ELSE type END AS type FROM t WHERE p % 11 <> 0
+WITH t AS (SELECT row_number() OVER () AS id, l_orderkey AS d, l_linenumber * 100 AS s, l_linenumber * 100 + 10 AS e, l_returnflag AS type, l_partkey AS p, l_linestatus AS ls, l_discount AS x FROM lineitem
+), g AS (SELECT id, d, s + (p % 4) * 5 AS s, e + (p % 4) * 5 AS e, CASE WHEN p % 7 = 0 THEN ls ELSE type END AS type FROM t WHERE x < 0.085
 ), b AS (SELECT t.id, max((CAST(g.s = t.s AND g.e = t.e AS INTEGER), CAST(g.type = t.type AS INTEGER))) AS best FROM t JOIN g ON t.d = g.d AND t.s < g.e AND g.s < t.e GROUP BY t.id
 ), o AS (SELECT t.type, CASE WHEN best IS NULL THEN 'missing' WHEN best = (1, 1) THEN 'exact' WHEN best[2] = 1 THEN 'partial' ELSE 'wrong_type' END AS outcome FROM t LEFT JOIN b ON t.id = b.id
   UNION ALL SELECT g.type, 'spurious' FROM g ANTI JOIN t ON t.d = g.d AND t.s < g.e AND g.s < t.e)
