@@ -117,11 +117,11 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql import Window as W
 
     tokens, _ = written(tokenised(docs, id_col, text_col, path), "shards", compression="zstd")
-    # a row for each part of the table: as many as the tasks that wrote it
+    # a row of two numbers for each part of the table: as many as the tasks that wrote it, which bounds the broadcast
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     base = parts.select("part", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("base"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbered = tokens.join(base, "part").select("id", "ids", (F.col("base") + F.col("before")).alias("number"))
+    numbered = tokens.join(F.broadcast(base), "part").select("id", "ids", (F.col("base") + F.col("before")).alias("number"))
 
     def records(ids: list, blobs: list, numbers: list) -> Iterable[tuple]:
         for i, blob, number in zip(ids, blobs, numbers, strict=True):
