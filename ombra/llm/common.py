@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +54,9 @@ def map_rows(df: DataFrame, columns: list[str | Column], schema: str, rows: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = list(rows(*(c.to_pylist() for c in batch.columns)))
-            for at in range(0, len(out), 4096):
-                yield to_batch(out[at : at + 4096], arrow)
+            found = iter(rows(*(c.to_pylist() for c in batch.columns)))
+            while part := list(islice(found, 512)):
+                yield to_batch(part, arrow)
 
     picked = [(F.col(c) if isinstance(c, str) else c).alias(f"c{n}") for n, c in enumerate(columns)]
     return df.select(*picked).mapInArrow(run, kind)

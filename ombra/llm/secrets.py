@@ -136,13 +136,16 @@ def redacted(docs: DataFrame, repository: Column, owner: Column, id_col: str = "
     owned, _ = written(ownership(scanned), "secrets")
     spans = scanned.where(F.size("found") > 0).select("row", "id", F.explode("found").alias("f")).join(owned, F.col("f.hash") == F.col("hash"))
     spans = spans.where(F.when(F.col("f.kind") == "token", F.col("class") == "live").otherwise(F.col("class") != "example"))
-    masks = spans.groupBy("row", "id").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end")))).alias("_masks"))
-    masks = masks.select(F.col("row").alias("_row"), F.col("id").alias("_id"), "_masks")
-    marked = docs.join(masks, (key == F.col("_row")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    masked = marked.withColumn(text_col, mask(F.col(text_col), F.col("_masks.start"), F.col("_masks.end")))
+    masks = spans.groupBy("row", "id").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end")))).alias("masks"))
+    # the input's columns stay in a struct, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.col(id_col).cast("long").alias("own"))
+    rows = rows.join(masks, F.col("key").eqNullSafe(F.col("row")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    doc = lambda c: F.col("doc")[c]
+    rows = rows.withColumn("new", mask(doc(text_col), F.col("masks.start"), F.col("masks.end")))
+    changed = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_masks").isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("masks").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(doc("n_chars"))
+    return rows.select(*(changed.get(c, doc(c)).alias(c) for c in docs.columns))
 
 
 @F.pandas_udf(T.StringType())
