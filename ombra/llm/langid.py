@@ -19,7 +19,6 @@ give equal rows; other columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -33,16 +32,16 @@ from ombra.llm.common import map_rows
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows a language, windows a row, words a window.
-ROWS, WINDOWS, WORDS = 400, 8, 16
+ROWS, WINDOWS, WORDS = 400, 6, 16
 #: One sampled row in this many calibrates instead of teaching.
 CALIBRATE = 4
 HASHES, DIMS = 1 << 16, 16
-EPOCHS, BATCH, RATE = 6, 64, 2.0
+EPOCHS, BATCH, RATE = 5, 64, 2.0
 GRAMS = (1, 2, 3, 4)
 #: The part of rightly classified calibration rows that may be rejected, and the highest threshold.
-REJECT, CEILING = 0.002, 0.5
-#: Words kept in a process's table of scores.
-TABLE = 200_000
+REJECT, CEILING = 0.001, 0.4
+#: Words kept in a process's table of scores, and words looked up in one go; a table holds at least a run.
+TABLE, RUN = 300_000, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,14 +49,45 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def features(word: str) -> list[int]:
-    """Hashed n-grams of a word's letters between marks, and the word; nothing for a word without letters."""
-    word = "".join(c for c in word if c.isalpha())
-    if not word:
-        return []
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % HASHES for g in [*grams, marked]]
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of many words at once: hashes, and the place of the word that each belongs to.
+
+    A word's letters stand between marks; its n-grams and the whole are hashed from code points.
+    A word without letters has no features.
+    """
+    letters = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
+    sizes = np.array([len(w) + 2 if w else 0 for w in letters], np.int64)
+    points = np.frombuffer("".join([f"<{w}>" for w in letters if w]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    if not len(points):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    starts = (np.cumsum(sizes) - sizes)[owner]
+    left = sizes[owner] - (np.arange(len(points)) - starts)
+    out, owners = [], []
+    rolled = np.zeros(len(points), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        rolled[: len(points) - n + 1] = rolled[: len(points) - n + 1] * PRIME + points[n - 1 :]
+        if n in GRAMS:
+            there = left >= n
+            out.append(mixed(rolled[there] + np.uint64(n)))
+            owners.append(owner[there])
+    place = (np.arange(len(points)) - starts).astype(np.uint64)
+    full = np.add.reduceat(spread(points * PRIME + place), np.flatnonzero(place == 0))
+    out.append(mixed(full))
+    owners.append(owner[place == 0])
+    return np.concatenate(out), np.concatenate(owners)
+
+
+PRIME = np.uint64(0x100000001B3)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (spread(x) % np.uint64(HASHES)).astype(np.int64)
 
 
 @dataclass
@@ -75,38 +105,63 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": None}
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """Class scores, or None for a text without a letter."""
-        words = words_of(text)
+    def rows_of(self, words: list[str]) -> list[int]:
+        """Rows of the words in the table of score sums and feature counts; unknown words are added."""
         if self.table is None:
             self.table = np.zeros((TABLE, len(self.names) + 1), np.float32)
-        total = np.zeros(len(self.names) + 1)
-        known, get = self.known, self.known.get
-        for at in range(0, len(words), TABLE // 2):
-            part = words[at : at + TABLE // 2]
-            rows = list(map(get, part))
-            if None in rows:
-                fresh = {w for w, r in zip(part, rows, strict=True) if r is None}
-                if len(known) + len(fresh) > TABLE:
-                    known.clear()
-                    fresh = set(part)
-                for w in sorted(fresh):
-                    ids = features(w)
-                    self.table[len(known), :-1] = self.scores[ids].sum(axis=0) if ids else 0
-                    self.table[len(known), -1] = len(ids)
-                    known[w] = len(known)
-                rows = list(map(get, part))
-            total += self.table[rows].sum(axis=0, dtype=np.float64)
-        return total[:-1] / total[-1] + self.bias if total[-1] else None
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, calibrated score, and whether the text is rejected."""
-        z = self.logits(text) if text and self.names else None
-        if z is None:
-            return UNKNOWN, 0.0, True
-        p = softmax(z / self.temperature)
-        best = int(p.argmax())
-        return self.names[best], float(p[best]), bool(p[best] < self.threshold)
+        rows = list(map(self.known.get, words))
+        if None in rows:
+            fresh = list(dict.fromkeys(w for w, r in zip(words, rows, strict=True) if r is None))
+            if len(self.known) + len(fresh) > TABLE:
+                self.known.clear()
+                fresh = list(dict.fromkeys(words))
+            ids, owners = hashed(fresh)
+            at = len(self.known)
+            for c in range(len(self.names)):
+                self.table[at : at + len(fresh), c] = np.bincount(owners, self.scores[ids, c], len(fresh))
+            self.table[at : at + len(fresh), -1] = np.bincount(owners, minlength=len(fresh))
+            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            rows = list(map(self.known.get, words))
+        return rows
+
+    def logits(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Class scores of each text, or None for a text without a letter."""
+        parts, out = [words_of(t) for t in texts], []
+        total = np.zeros((len(texts), len(self.names) + 1))
+        run: list[str] = []
+        ends: list[tuple[int, int]] = []
+
+        def add() -> None:
+            if run:
+                rows = self.rows_of(run)
+                starts = [0, *(e for _, e in ends[:-1])]
+                total[[n for n, _ in ends]] += np.add.reduceat(self.table[rows], starts, axis=0, dtype=np.float64)
+                run.clear()
+                ends.clear()
+
+        for n, words in enumerate(parts):
+            for at in range(0, len(words), RUN):
+                run += words[at : at + RUN]
+                ends.append((n, len(run)))
+                if len(run) >= RUN:
+                    add()
+        add()
+        for row in total:
+            out.append(row[:-1] / row[-1] + self.bias if row[-1] else None)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, calibrated score, and whether the text is rejected, for each text."""
+        found = self.logits([t or "" for t in texts]) if self.names else [None] * len(texts)
+        out = []
+        for z in found:
+            if z is None:
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            p = softmax(z / self.temperature)
+            best = int(p.argmax())
+            out.append((self.names[best], float(p[best]), bool(p[best] < self.threshold)))
+        return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -125,8 +180,12 @@ def train(rows: list[tuple[str, list[list[str]]]], seed: int = 9) -> Model:
     """A model of rows (language, windows), before calibration."""
     names = sorted({lang for lang, _ in rows})
     rng = np.random.default_rng(seed)
-    known: dict[str, list[int]] = {}
-    samples = [(names.index(lang), ids) for lang, parts in rows for part in parts if (ids := [i for w in part for i in (known.get(w) or known.setdefault(w, features(w)))])]
+    vocabulary = sorted({w for _, parts in rows for part in parts for w in part})
+    ids, owners = hashed(vocabulary)
+    order = np.argsort(owners, kind="stable")
+    cuts = np.searchsorted(owners[order], np.arange(len(vocabulary) + 1))
+    own = {w: ids[order[cuts[n] : cuts[n + 1]]] for n, w in enumerate(vocabulary)}
+    samples = [(names.index(lang), ids) for lang, parts in rows for part in parts if part and len(ids := np.concatenate([own[w] for w in part]))]
     if not samples:
         return Model([], np.zeros((HASHES, 0), np.float32), np.zeros(0, np.float32))
     embed = rng.uniform(-1 / DIMS, 1 / DIMS, (HASHES, DIMS)).astype(np.float32)
@@ -139,26 +198,27 @@ def train(rows: list[tuple[str, list[list[str]]]], seed: int = 9) -> Model:
             rate = RATE * (1 - step / steps)
             step += 1
             sizes = np.array([len(samples[i][1]) for i in batch])
-            ids = np.concatenate([samples[i][1] for i in batch])
+            ids = np.concatenate([samples[i][1] for i in batch]).astype(np.int32)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            mean = np.add.reduceat(embed[ids], starts) / sizes[:, None]
+            mean = (np.add.reduceat(embed[ids], starts) / sizes[:, None]).astype(np.float32)
             y = np.array([samples[i][0] for i in batch])
             error = softmax(mean @ weights + bias)
             error[np.arange(len(y)), y] -= 1
             error *= balance[y, None] / len(batch)
-            back = (error @ weights.T) / sizes[:, None]
+            back = ((error @ weights.T) / sizes[:, None]).astype(np.float32)
             weights -= rate * (mean.T @ error)
             bias -= rate * error.sum(axis=0)
-            unique, where = np.unique(ids, return_inverse=True)
-            grads = np.zeros((len(unique), DIMS), np.float32)
-            np.add.at(grads, where, np.repeat(back, sizes, axis=0))
-            embed[unique] -= rate * len(batch) * grads
+            order = np.argsort(ids, kind="stable")
+            firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            grads = np.add.reduceat(np.repeat(back, sizes, axis=0)[order], firsts, axis=0)
+            embed[ids[order[firsts]]] -= rate * len(batch) * grads
     return Model(names, embed @ weights, bias)
 
 
 def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
     """Fit the temperature by likelihood and the threshold by the kept part of (language, text) rows."""
-    found = [(model.names.index(lang), z) for lang, text in rows if lang in model.names and (z := model.logits(text)) is not None]
+    known = [(lang, text) for lang, text in rows if lang in model.names]
+    found = [(model.names.index(lang), z) for (lang, _), z in zip(known, model.logits([t for _, t in known]), strict=True) if z is not None]
     if found:
         y, z = np.array([a for a, _ in found]), np.stack([b for _, b in found])
         loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
@@ -209,9 +269,8 @@ def predict(docs: DataFrame, model: Model, columns: list[str | Column], schema:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: a row of scores for each hash
 
     def rows(texts: list, *kept: list) -> Iterable[tuple]:
-        own = shared.value
-        for text, *rest in zip(texts, *kept, strict=True):
-            yield (*rest, *own.predict(text))
+        for *rest, found in zip(*kept, shared.value.predict(texts), strict=True):
+            yield (*rest, *found)
 
     return map_rows(docs, [F.col(text_col), *columns], f"{schema}, lang_pred string, score double, rejected boolean", rows)
 
@@ -228,7 +287,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([not own.predict(t)[2] for t in texts], dtype=bool)
+        return pd.Series([not rejected for *_, rejected in shared.value.predict(list(texts))], dtype=bool)
 
     return docs.where(F.pandas_udf(keep, "boolean")(F.col(text_col)))

@@ -41,19 +41,22 @@ def test_query(spark, tmp_path):
 
 
 def test_scores_are_the_mean_of_all_features(monkeypatch):
-    monkeypatch.setattr(langid, "TABLE", 8)
+    monkeypatch.setattr(langid, "TABLE", 40)
+    monkeypatch.setattr(langid, "RUN", 20)
     rng = np.random.default_rng(1)
     model = langid.Model(["x", "y"], rng.normal(size=(langid.HASHES, 2)).astype(np.float32), np.array([0.1, 0.2], np.float32))
     t = " ".join(text("cc", 50, rng) for _ in range(3))
-    ids = [i for w in langid.words_of(t) for i in langid.features(w)]
-    assert np.allclose(model.logits(t), model.scores[ids].mean(axis=0) + model.bias, atol=1e-4)
-    assert model.logits("½ 3") is None
+    ids = np.concatenate([langid.hashed([w])[0] for w in langid.words_of(t)])
+    together, alone = model.logits([t, "½ 3", "", t[:40]]), model.logits([t[:40]])
+    assert np.allclose(together[0], model.scores[ids].mean(axis=0) + model.bias, atol=1e-4)
+    assert together[1] is None and together[2] is None and np.allclose(together[3], alone[0])
+    assert len(langid.hashed(["abc"])[0]) == 5 + 4 + 3 + 2 + 1 and len(langid.hashed(["½", "a½"])[0]) == len(langid.hashed(["a"])[0])
 
 
 def test_held_out_rows_and_nulls_never_teach(spark):
     docs = spark.createDataFrame([(i, "der ein", "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else None) for i in range(60)], "doc_id long, text string, lang string")
     model = langid.fit(docs, ~langid.held_out())
-    assert model.names == [] and model.predict("der") == ("und", 0.0, True)
+    assert model.names == [] and model.predict(["der"]) == [("und", 0.0, True)]
     assert langid.predict(docs.limit(0), model, [F.col("doc_id")], "doc_id long").count() == 0
 
 
