@@ -126,7 +126,7 @@ class Model:
 
     def logits(self, texts: list[str]) -> list[np.ndarray | None]:
         """Class scores of each text, or None for a text without a letter."""
-        parts, out = [words_of(t) for t in texts], []
+        out: list[np.ndarray | None] = []
         total = np.zeros((len(texts), len(self.names) + 1))
         run: list[str] = []
         ends: list[tuple[int, int]] = []
@@ -139,7 +139,8 @@ class Model:
                 run.clear()
                 ends.clear()
 
-        for n, words in enumerate(parts):
+        for n, text in enumerate(texts):  # one text's words at a time: a batch's would fill the memory
+            words = words_of(text)
             for at in range(0, len(words), RUN):
                 run += words[at : at + RUN]
                 ends.append((n, len(run)))
