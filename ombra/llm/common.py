@@ -48,15 +48,16 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, rows: Callable[..., Iterable[tuple]]) -> DataFrame:
-    """Map Arrow batches: ``rows`` gets the selected columns as lists and yields output tuples."""
+    """Map Arrow batches: ``rows`` gets a few hundred rows of the selected columns as lists and yields output tuples."""
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = iter(rows(*(c.to_pylist() for c in batch.columns)))
-            while part := list(islice(found, 512)):
-                yield to_batch(part, arrow)
+            for at in range(0, batch.num_rows, 512):  # a whole batch as Python values would be many times its size
+                found = iter(rows(*(c.to_pylist() for c in batch.slice(at, 512).columns)))
+                while part := list(islice(found, 512)):
+                    yield to_batch(part, arrow)
 
     picked = [(F.col(c) if isinstance(c, str) else c).alias(f"c{n}") for n, c in enumerate(columns)]
     return df.select(*picked).mapInArrow(run, kind)

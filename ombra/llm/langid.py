@@ -19,11 +19,12 @@ give equal rows; other columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ GRAMS = (1, 2, 3, 4)
 #: The part of rightly classified calibration rows that may be rejected, and the highest threshold.
 REJECT, CEILING = 0.001, 0.4
 #: Words kept in a process's table of scores, and words looked up in one go; a table holds at least a run.
-TABLE, RUN = 300_000, 100_000
+TABLE, RUN = 150_000, 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -99,29 +100,24 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    known: dict = field(default_factory=dict)
-    table: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": None}
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def rows_of(self, words: list[str]) -> list[int]:
         """Rows of the words in the table of score sums and feature counts; unknown words are added."""
-        if self.table is None:
-            self.table = np.zeros((TABLE, len(self.names) + 1), np.float32)
-        rows = list(map(self.known.get, words))
+        known, table = words_known(self)
+        rows = list(map(known.get, words))
         if None in rows:
             fresh = list(dict.fromkeys(w for w, r in zip(words, rows, strict=True) if r is None))
-            if len(self.known) + len(fresh) > TABLE:
-                self.known.clear()
+            if len(known) + len(fresh) > TABLE:
+                known.clear()
                 fresh = list(dict.fromkeys(words))
             ids, owners = hashed(fresh)
-            at = len(self.known)
+            at = len(known)
             for c in range(len(self.names)):
-                self.table[at : at + len(fresh), c] = np.bincount(owners, self.scores[ids, c], len(fresh))
-            self.table[at : at + len(fresh), -1] = np.bincount(owners, minlength=len(fresh))
-            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-            rows = list(map(self.known.get, words))
+                table[at : at + len(fresh), c] = np.bincount(owners, self.scores[ids, c], len(fresh))
+            table[at : at + len(fresh), -1] = np.bincount(owners, minlength=len(fresh))
+            known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            rows = list(map(known.get, words))
         return rows
 
     def logits(self, texts: list[str]) -> list[np.ndarray | None]:
@@ -135,7 +131,7 @@ class Model:
             if run:
                 rows = self.rows_of(run)
                 starts = [0, *(e for _, e in ends[:-1])]
-                total[[n for n, _ in ends]] += np.add.reduceat(self.table[rows], starts, axis=0, dtype=np.float64)
+                total[[n for n, _ in ends]] += np.add.reduceat(words_known(self)[1][rows], starts, axis=0, dtype=np.float64)
                 run.clear()
                 ends.clear()
 
@@ -165,6 +161,17 @@ class Model:
         return out
 
 
+_table: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+
+
+def words_known(model: Model) -> tuple[dict[str, int], np.ndarray]:
+    """The process's one table of words, which is the last model's: an earlier model's goes."""
+    if model.key not in _table:
+        _table.clear()
+        _table[model.key] = {}, np.zeros((TABLE, len(model.names) + 1), np.float32)
+    return _table[model.key]
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -286,8 +293,12 @@ def op9_langid(spark, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series([not rejected for *_, rejected in shared.value.predict(list(texts))], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                yield part.filter(pa.array([not rejected for *_, rejected in shared.value.predict(part.column(at).to_pylist())], pa.bool_()))
 
-    return docs.where(F.pandas_udf(keep, "boolean")(F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import numpy as np
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of the per-process word tables; their bound costs time but no result.
-TABLE = 150_000
+TABLE = 100_000
 #: Words longer than this many characters aren't kept in a table.
 LONG = 64
 
