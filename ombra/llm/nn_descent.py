@@ -5,7 +5,9 @@ neighbour graph starts from leaves of random-hyperplane orders and is refined by
 neighbours and reverse neighbours of each node are compared with one another, and a pair better than
 the end of a list enters it. Lists whose every entry passes the threshold are saturated: they are
 enlarged to their whole component, whose members are compared block by block in double precision,
-so no link inside a component is lost and none is listed as a pair. A bounded sample of vectors is
+so no link inside a component is lost and none is listed as a pair. Before that, saturated nodes of
+different components are compared too, in blocks whose centres and radii allow a link, as the links
+between them may have found no place in any list. A bounded sample of vectors is
 compared with all rows by brute force; while too few of its links are found, further orders and
 joins are added.
 
@@ -189,6 +191,103 @@ def certain(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return sure.union(checked)
 
 
+def saturated(graph: DataFrame, threshold: float) -> DataFrame:
+    """Rows (rep): nodes whose list is full of links, so that others may have found no place in it."""
+    ends = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("s").alias("end"))
+    return ends.where((F.col("k") >= NEIGHBOURS) & (F.col("end") >= threshold - DOUBT)).select(F.col("u").alias("rep"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (g, part, block, rep, wide, centre, radius) of rows (g, part, rep, wide): at most ``BLOCK`` of a part, near in one order; the first of each has its centre and the widest angle to it."""
+
+    def keys(groups: list, parts: list, reps: list, blobs: list) -> Iterable[tuple]:
+        for g, part, rep, blob in zip(groups, parts, reps, blobs, strict=True):
+            x = np.frombuffer(blob).astype(np.float32)
+            yield g, part, int.from_bytes(np.packbits(planes(0, len(x)) @ x > 0).tobytes(), "big"), rep, blob
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for run in grouped(batches, 2, BLOCK):
+                x = matrix((r[4] for r in run), np.float64)
+                mean = x.mean(axis=0)
+                centre = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-6 else x[0]
+                radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+                for n, r in enumerate(run):
+                    yield r[0], r[1], run[0][3], r[3], r[4], None if n else centre.tobytes(), None if n else radius
+
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+        yield from batches_of(out(), kinds, ["g", "part", "block", "rep", "wide", "centre", "radius"])
+
+    keyed = map_rows(rows, ["g", "part", "rep", "wide"], "g string, part long, k long, rep long, wide binary", keys)
+    order = ["g", "part", "k", "rep"]
+    schema = "g string, part long, block long, rep long, wide binary, centre binary, radius double"
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema)
+
+
+def across(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b): links that join what all links of rows (g, part, rep, wide) join, without those inside a part; a null part is compared with itself too.
+
+    Blocks whose centres are further apart than both radii and the threshold's angle hold no link;
+    all others are compared in double precision. Of a pair of blocks, only a forest of its links is listed.
+    """
+    cut, _ = written(blocks(rows), "nn")
+    centres = cut.where("centre is not null").select("g", "part", "block", "centre", "radius")
+    sizes = centres.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks"))
+    placed = centres.join(sizes, "g").withColumn("c", F.pmod(F.xxhash64("block"), "chunks").cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "part", "block", "centre", "radius")
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for run in grouped(batches, 3):
+                x, r, c = matrix((r[6] for r in run), np.float64), np.array([r[7] for r in run]), np.array([r[3] for r in run])
+                close = np.triu(np.arccos(np.clip(x @ x.T, -1, 1)) <= r[:, None] + r[None, :] + reach)
+                if run[0][1] != run[0][2]:
+                    close &= c[:, None] != c[None, :]
+                for i, j in zip(*np.nonzero(close), strict=True):
+                    if run[i][4] is None or run[i][4] != run[j][4]:
+                        yield run[i][5], run[j][5]
+
+        yield from batches_of(out(), [pa.int64(), pa.int64()], ["p", "q"])
+
+    pairs = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(near, "p long, q long")
+    asked = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    members = asked.join(cut.select("block", "rep", "wide"), "block").select("p", "q", "rep", "wide")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for run in grouped(batches, 2):
+                x = matrix((r[3] for r in run), np.float64)
+                for i, j in forest(x @ x.T >= threshold):
+                    yield run[i][2], run[j][2]
+
+        yield from batches_of(out(), [pa.int64(), pa.int64()], ["a", "b"])
+
+    return members.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(links, "a long, b long")
+
+
+def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of a symmetric relation that join all that it joins, fewer than its rows."""
+    left = np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        ahead = [start] if left[start] else []
+        left[start] = False
+        while ahead:
+            i = ahead.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            for j in new.tolist():
+                yield i, j
+                ahead.append(j)
+
+
+def enlarged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component), joined by further links (a, b)."""
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.union(links), "nn")
+
+
 def counted(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Rows (rep, links): for the members of components (node, component), the vectors linked with each, without its own copies."""
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks"))
@@ -259,6 +358,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if graph.where("fresh").count() <= SETTLED * NEIGHBOURS * total:
                 break
         found, _ = written(components(certain(graph, classes, threshold), "nn"), "nn")
+        full = saturated(graph, threshold).join(classes.select("g", "rep", "wide"), "rep").join(found, F.col("rep") == F.col("node"), "left")
+        full = full.select("g", F.coalesce("component", "rep").alias("part"), "rep", "wide")
+        found, _ = written(enlarged(found, across(full, threshold)), "nn")
         counts, _ = written(counted(found, classes, threshold), "nn")
         before, recall = recall, audit(classes, counts, threshold)
         if recall >= RECALL or recall <= before:

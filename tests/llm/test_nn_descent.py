@@ -67,3 +67,26 @@ def test_empty_null_ids_and_copies(spark):
     got = sorted((r.id or 0, r.n_links, r.component or 0) for r in nn_descent.near_duplicates(docs).collect())
     assert got == [(0, 0, 0), (0, 0, 0), (4, 2, 4), (5, 2, 4), (5, 2, 4)]
     assert nn_descent.near_duplicates(docs.limit(0)).count() == 0
+
+
+def pairs_of_clusters():
+    """Clusters of 20 whose members' nearest 8 are all of their own, with links to the other cluster; and one further away."""
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    rows = []
+    for k in range(12):
+        a, b = axes[2 * k], axes[2 * k + 1]
+        for c, angle in enumerate((0, 0.175, 0.6)):
+            centre = np.cos(angle) * a + np.sin(angle) * b
+            rows += [(1000 * k + 100 * c + n, (centre + rng.normal(size=64) * 0.0018).tolist(), k % 2) for n in range(20)]
+    return rows
+
+
+def test_links_between_saturated_clusters(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    rows = pairs_of_clusters()
+    want = brute(rows)
+    assert {n for n, _, _ in want.values()} == {19, 39}
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component, r.id == r.component) for r in nn_descent.near_duplicates(docs).collect()}
+    assert got == want
