@@ -7,9 +7,9 @@ the end of a list enters it. Lists whose every entry passes the threshold are sa
 enlarged to their whole component, whose members are compared block by block in double precision,
 so no link inside a component is lost and none is listed as a pair. Before that, saturated nodes of
 different components are compared too, in blocks whose centres and radii allow a link, as the links
-between them may have found no place in any list. A bounded sample of vectors is
-compared with all rows by brute force; while too few of its links are found, further orders and
-joins are added.
+between them may have found no place in any list. Bounded samples of vectors are
+compared with all rows by brute force; while too few of their links are found, further orders and
+joins are added, and when these find no more, all vectors of a label are compared in such blocks.
 
 Reverse lists of hubs and large components are dealt out in hashed chunks; leaves are consecutive
 rows of a range-partitioned order, so no label or group of copies is one task's work.
@@ -42,8 +42,8 @@ BITS = 32
 ROUNDS, SETTLED = 2, 0.002
 #: Reverse neighbours joined together, and rows of a component compared in one go.
 JOINED, BLOCK = 48, 512
-#: Vectors of the audit and the part of their links to be found; repetitions end when one finds no more.
-AUDIT, RECALL = 256, 0.97
+#: Vectors of the audit of each kind, most of those without links, and the part of a vector's links to be found.
+AUDIT, AUDIT_MOST, RECALL = 256, 4096, 0.97
 #: Single-precision cosines this close to the threshold are computed again in double precision.
 DOUBT = 1e-4
 
@@ -313,31 +313,53 @@ def counted(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return pieces.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """The part of the links of a sample of vectors, compared with all by brute force, that ``counts`` has."""
-    picked = classes.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(AUDIT).select("rep", "g", "wide").collect()
+def audit(classes: DataFrame, found: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The mean part of a vector's links that ``counts`` has, the lower of vectors with few and with many links.
+
+    Samples of the vectors in small components, in large ones and in none are compared with all by brute
+    force; each stands for its kind's share. That of the vectors in none grows with their number for
+    each linked one, so that missed links show up in it.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    kinds = found.join(sizes, "component").select(F.col("node").alias("rep"), F.when(F.col("size") <= NEIGHBOURS + 1, "small").otherwise("large").alias("kind"))
+    rows = classes.select("rep", "g", "wide").join(kinds, "rep", "left").withColumn("kind", F.coalesce("kind", F.lit("none")))
+    total = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+    linked = total.get("small", 0) + total.get("large", 0)
+    loose = 3 * total.get("none", 0) / ((1 - RECALL) * linked) if linked else AUDIT_MOST
     by: dict[str, list] = {}
-    for r in picked:
-        by.setdefault(r.g, []).append((r.rep, bytes(r.wide)))
-    asked = classes.sparkSession.sparkContext.broadcast(by)  # AUDIT vectors
+    weight: dict[int, float] = {}
+    for kind, held in total.items():
+        size = AUDIT if kind != "none" else int(min(max(loose, AUDIT), AUDIT_MOST))
+        for r in rows.where(F.col("kind") == kind).orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(size).collect():
+            by.setdefault(r.g, []).append((r.rep, bytes(r.wide)))
+            weight[r.rep] = held / min(size, held)
+    asked = classes.sparkSession.sparkContext.broadcast(by)  # at most AUDIT_MOST and twice AUDIT vectors
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        queries = {g: ([r for r, _ in rows], matrix((b for _, b in rows), np.float64)) for g, rows in asked.value.items()}
+        total: dict[int, tuple[int, int]] = {}
+        queries = {g: (np.array([r for r, _ in rows]), matrix((b for _, b in rows), np.float64)) for g, rows in asked.value.items()}
         for batch in batches:
-            reps, groups, ns, blobs = (c.to_pylist() for c in batch.columns)
-            for g, (names, x) in queries.items():
-                at = [i for i, h in enumerate(groups) if h == g]
-                if at:
+            for first in range(0, batch.num_rows, 512):
+                reps, groups, ns, blobs = (c.to_pylist() for c in batch.slice(first, 512).columns)
+                for g in set(groups) & queries.keys():
+                    names, x = queries[g]
+                    at = [i for i, h in enumerate(groups) if h == g]
                     hits = x @ matrix((blobs[i] for i in at), np.float64).T >= threshold
-                    hits &= np.array(names)[:, None] != np.array([reps[i] for i in at])[None, :]
-                    for name, k in zip(names, (hits @ np.array([ns[i] for i in at])).tolist(), strict=True):
-                        total[name] = total.get(name, 0) + k
-        yield from batches_of(iter(total.items()), [pa.int64(), pa.int64()], ["rep", "real"])
-
-    true = classes.select("rep", "g", "n", "wide").mapInArrow(brute, "rep long, real long").groupBy("rep").agg(F.sum("real").alias("real")).where("real > 0")
-    row = true.join(counts, "rep", "left").agg(F.sum("real").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "real")).alias("f")).first()
-    return row.f / row.t if row.t else 1.0
+                    hits &= names[:, None] != np.array([reps[i] for i in at])[None, :]
+                    real, near = hits @ np.array([ns[i] for i in at]), hits.sum(axis=1)
+                    for i in np.flatnonzero(near).tolist():
+                        r, k = total.get(int(names[i]), (0, 0))
+                        total[int(names[i])] = r + int(real[i]), k + int(near[i])
+        yield from batches_of(((n, r, k) for n, (r, k) in total.items()), [pa.int64(), pa.int64(), pa.int64()], ["rep", "real", "near"])
+
+    true = classes.select("rep", "g", "n", "wide").mapInArrow(brute, "rep long, real long, near long").groupBy("rep").agg(F.sum("real").alias("real"), F.sum("near").alias("near"))
+    parts: dict[bool, list[float]] = {}
+    for r in true.join(counts, "rep", "left").collect():
+        part = parts.setdefault(r.near <= NEIGHBOURS, [0.0, 0.0])
+        part[0] += weight[r.rep] * min((r.links or 0) / r.real, 1.0)
+        part[1] += weight[r.rep]
+    asked.unpersist()
+    return min((f / t for f, t in parts.values()), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -362,8 +384,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         full = full.select("g", F.coalesce("component", "rep").alias("part"), "rep", "wide")
         found, _ = written(enlarged(found, across(full, threshold)), "nn")
         counts, _ = written(counted(found, classes, threshold), "nn")
-        before, recall = recall, audit(classes, counts, threshold)
-        if recall >= RECALL or recall <= before:
+        before, recall = recall, audit(classes, found, counts, threshold)
+        if recall >= RECALL:
+            break
+        if recall <= before:  # more orders don't help: all vectors of a label, block by block
+            every = classes.select("g", F.lit(None).cast("long").alias("part"), "rep", "wide")
+            found, _ = written(enlarged(found, across(every, threshold)), "nn")
+            counts, _ = written(counted(found, classes, threshold), "nn")
             break
     forget(spark, path)
     of = classes.select("g", "digest", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")

@@ -90,3 +90,15 @@ def test_links_between_saturated_clusters(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.id: (r.n_links, r.component, r.id == r.component) for r in nn_descent.near_duplicates(docs).collect()}
     assert got == want
+
+
+def test_missed_pairs_are_noticed_beside_a_large_group(spark, monkeypatch):
+    """Leaves that hold nothing but a hot group: the result must still be whole."""
+    leaves = nn_descent.leaves
+    monkeypatch.setattr(nn_descent, "leaves", lambda *a: leaves(*a).where("u between 2000 and 2999 and v between 2000 and 2999"))
+    monkeypatch.setattr(nn_descent, "BLOCK", 40)
+    rows = vectors()
+    want = brute(rows)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component, r.id == r.component) for r in nn_descent.near_duplicates(docs).collect()}
+    assert got == want
