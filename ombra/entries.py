@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ombra.config import Config
 from ombra.functions import text as X
 from ombra.functions import validators as C
+from ombra.functions.lexicons import ALL_CATEGORIES
 from ombra.operators import evaluate, native, rewrite
 from ombra.operators import vault as V
 from ombra.operators.detect import book_spans
 from ombra.plans.anonymise import Anonymised, anonymise
 from ombra.plans.blocks import block_rows
 
-#: The types that occur in the driver's documents; their language is no reason to leave them.
+#: All types in texts of any language.
+FULL = Config(categories=ALL_CATEGORIES, all_languages=True)
+#: The types of ``entity_table``, whose SQL lists all e-mails and addresses as if no other type could take their place.
 PLAIN = Config(categories=frozenset(("EMAIL", "CARTA", "IP", "IBAN", "CF", "PIVA")), all_languages=True)
 TIME = "timestamp '2026-01-01 00:00:00'"
 
@@ -31,8 +34,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), "doc_id", F.col("doc_id").alias("seq"), "text")
 
 
-def anonymised(spark: SparkSession, sf_dir: str) -> Anonymised:
-    return anonymise(docs(spark, sf_dir), PLAIN, now=F.expr(TIME))
+def anonymised(spark: SparkSession, sf_dir: str, config: Config = FULL) -> Anonymised:
+    return anonymise(docs(spark, sf_dir), config, now=F.expr(TIME))
 
 
 def found(spark: SparkSession, sf_dir: str, kind: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +152,7 @@ def reserved_numbers(spark, sf_dir):
 
 
 def entity_table(spark, sf_dir):
-    return anonymised(spark, sf_dir).entities.where("type in ('EMAIL', 'IP')").select("session_id", "doc_id", "type", "value", "occurrences")
+    return anonymised(spark, sf_dir, PLAIN).entities.where("type in ('EMAIL', 'IP')").select("session_id", "doc_id", "type", "value", "occurrences")
 
 
 def anonymise_docs(spark, sf_dir):

@@ -38,3 +38,19 @@ def test_query(spark, db, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["session_id", "doc_id", "text"]
+
+
+def test_flagship_and_round_trip_of_all_types(spark, tmp_path):
+    values = ["12/03/1980", "via Garibaldi 12", "20121", "347 1234567", "AB123CD", "@mario.rossi80", "mario.rossi@example.it", "10.1.2.3", "AX1234567", "00:1A:2B:3C:4D:5E"]
+    texts = [
+        "Il cliente, nato a Milano il 12/03/1980, abita in via Garibaldi 12, 20121 Milano, tel. 347 1234567.",
+        "Targa AB123CD, profilo instagram @mario.rossi80, scrivere a mario.rossi@example.it da 10.1.2.3.",
+        "Carta d'identità n. AX1234567; MAC 00:1A:2B:3C:4D:5E",
+    ]
+    rows = [(n, t, "s") for n, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = entry.queries()
+    masked = " ".join(r.text for r in run["anonymise_docs"](spark, str(tmp_path)).collect())
+    assert not [v for v in values if v in masked]
+    assert sorted((r.doc_id, r.text) for r in run["roundtrip_identity"](spark, str(tmp_path)).collect()) == [(n, t) for n, t, _ in rows]
+    assert not any(r.violations for r in run["guarantee_violations"](spark, str(tmp_path)).collect())
