@@ -1,11 +1,8 @@
-"""Helpers shared by the corpus operators: shared tables, Arrow mapping, connected components."""
+"""Helpers shared by the corpus operators: reading tables, Arrow mapping, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -14,37 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ombra.plans.shared import forget, prefix_sums, spread, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session gets a temporary folder; on a cluster that is an error,
-    as no folder of one machine is visible to the others.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not known.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ombra-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+__all__ = ["components", "documents", "forget", "map_rows", "prefix_sums", "spread", "text_bytes", "to_batch", "written"]
 
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``written`` made and that no returned DataFrame reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table of documents, read by all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, rows: Callable[..., Iterable[tuple]]) -> DataFrame:
@@ -100,20 +74,3 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-
-
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, start: str) -> DataFrame:
-    """Add ``start``: the sum of ``value`` over the rows before each one, within ``group``.
-
-    Rows are ordered by ``bucket``, then ``order``. A group is summed bucket by bucket in
-    parallel; only the buckets' totals are summed in one go, so a group may hold most of the rows.
-    """
-    from pyspark.sql import Window as W
-
-    totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("_total"))
-    over = W.partitionBy(*group).orderBy(bucket) if group else W.partitionBy(F.lit(0)).orderBy(bucket)
-    totals = totals.withColumn("_base", F.sum("_total").over(over) - F.col("_total")).drop("_total")
-    inside = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    same = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, bucket]])
-    inner = df.withColumn("_inner", F.sum(value).over(inside) - F.col(value))
-    return inner.alias("l").join(totals.alias("r"), same).select("l.*", "r._base").withColumn(start, F.col("_base") + F.col("_inner")).drop("_base", "_inner")

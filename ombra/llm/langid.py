@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ombra.llm.common import map_rows
+from ombra.llm.common import documents, map_rows
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows a language, windows a row, words a window.
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str | Column], schema:
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     model = fit(docs, ~held_out())
     found = predict(docs, model, [F.col("doc_id").cast("long"), held_out()], "doc_id long, held_out boolean")
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")

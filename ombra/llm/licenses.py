@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import map_rows, text_bytes
+from ombra.llm.common import documents, map_rows, text_bytes
 
 #: Base phrases and their labels.
 PHRASES = (
@@ -164,7 +164,7 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
-    found = license_notices(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = license_notices(documents(spark, sf_dir))
     labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*c))), ",")
     return found.select(
         F.col("id").alias("doc_id"),

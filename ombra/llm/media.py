@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import map_rows, text_bytes
+from ombra.llm.common import documents, map_rows, text_bytes
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -206,7 +206,7 @@ def page_of(title: str, digests: list[str]) -> str:
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
     """Each document becomes a page of its title line and its payload; the payload is resolved through the page's parts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
 
     def rows(ids: list, texts: list) -> Iterable[tuple]:
         for i, data in zip(ids, texts, strict=True):

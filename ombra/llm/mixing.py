@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ombra.llm.common import prefix_sums, written
+from ombra.llm.common import documents, prefix_sums, written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -188,5 +188,5 @@ FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("source"))
+    found = mix(documents(spark, sf_dir), F.col("source"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

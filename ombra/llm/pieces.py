@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ombra.llm import piece
-from ombra.llm.common import map_rows
+from ombra.llm.common import documents, map_rows
 
 MODEL = "piece_bpe_32k.model"
 
@@ -92,4 +92,4 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encoded_digests(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return encoded_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

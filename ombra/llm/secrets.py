@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ombra.llm.common import map_rows, written
+from ombra.llm.common import documents, map_rows, written
 
 #: The base kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -111,7 +111,7 @@ def joined(spans: Column) -> Column:
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     found = find_secrets(docs, F.col("doc_id"), F.col("source"))
     count = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "token")

@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import map_rows, written
+from ombra.llm.common import documents, map_rows, written
 from ombra.llm.pieces import text_or_empty
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -181,5 +181,5 @@ def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None, shard
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
     """Every sequence as read back from the shards."""
-    shards, _ = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    shards, _ = write_shards(documents(spark, sf_dir))
     return read_slots(shards).select(F.col("id").alias("doc_id"), "seq", "slot", "shard", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))

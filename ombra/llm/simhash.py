@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import components, map_rows, text_bytes, written
+from ombra.llm.common import components, documents, map_rows, text_bytes, written
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Rows compared with one another in one go.
@@ -198,5 +198,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

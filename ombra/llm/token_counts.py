@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ombra.llm import piece
-from ombra.llm.common import map_rows
+from ombra.llm.common import documents, map_rows
 from ombra.llm.pieces import model_path, text_or_empty
 
 LIMIT = 4096
@@ -36,5 +36,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = token_counts(documents(spark, sf_dir))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
