@@ -4,7 +4,9 @@ Texts become words (ASCII lowered; letters, digits and all non-ASCII characters)
 spaces. Base phrases are found exactly, word by word. Each longer notice may contain up to ``k``
 character edits: it is split into k + 1 pieces, one of which any such occurrence holds unchanged,
 so an automaton over all pieces finds every candidate place; the regex library then matches the
-notice there with at most k errors, at word borders, and reports the span and its edits.
+notice there with at most k errors, at word borders, and reports the span and its edits. Each
+candidate window is matched by itself, so places next to one another are all found; of places of a
+notice that overlap, the one with the fewest edits stays, then the leftmost, then the shorter.
 
 Defined results: a null text is empty; a text without words or notices has zero counts, null
 words, empty labels and score 0; overlapping places of a phrase all count; equal rows give equal
@@ -73,7 +75,7 @@ def notice(text: str, label: str) -> Notice:
     k = len(text) // PER_EDIT
     cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
     pieces = tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
-    return Notice(text, label, k, pieces, regex.compile(rf"(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}(?![^ ])", regex.BESTMATCH))
+    return Notice(text, label, k, pieces, regex.compile(rf"(?<= )(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}(?= )", regex.BESTMATCH))
 
 
 @cache
@@ -102,31 +104,41 @@ class Found:
 
 
 def fuzzy(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[Found]:
-    """All notices in the joined words, each run of overlapping candidate windows searched once."""
+    """All notices in the joined words: the best match of each seed's window, then those that don't overlap."""
     made, automaton = searcher(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for stop, (size, uses) in automaton.iter(joined):
         begin = stop + 1 - size
         for n, at in uses:
             x = made[n]
-            a, b = begin - at - x.edits, begin - at + len(x.text) + x.edits
-            spans = windows.setdefault(n, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-                spans[-1][0] = min(a, spans[-1][0])
-            else:
-                spans.append([a, b])
+            windows.setdefault(n, set()).add((begin - at - x.edits, begin - at + len(x.text) + x.edits))
     out = []
-    for n, spans in windows.items():
+    padded = f" {joined} "  # shows the words' borders; a place is one further on in it
+    for n, own in windows.items():
         x = made[n]
-        for a, b in spans:
-            # one more character on both sides shows the words' borders
-            for m in x.pattern.finditer(joined, max(a - 1, 0), min(b + 1, len(joined))):
-                if (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                    out.append(Found(x.label, m.start(), m.end(), sum(m.fuzzy_counts), x.text))
+        found = set()
+        for a, b in own:
+            # a blank on both sides belongs to the window
+            if m := x.pattern.search(padded, max(a, 0), b + 2):
+                found.add((sum(m.fuzzy_counts), m.start() - 1, m.end() - 1))
+        out += [Found(x.label, a, b, edits, x.text) for edits, a, b in apart(found)]
     return sorted(out, key=lambda f: (f.start, f.end, f.notice))
 
 
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end), in order, those that overlap none taken before."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for edits, a, b in sorted(found):
+        at = bisect_right(starts, a)
+        if (not at or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append((edits, a, b))
+    return out
+
+
 def scan_text(data: bytes) -> tuple[int, list[tuple[int, str]], list[Found], str]:
     """Words in a text, base places as (word, label), notices, and the joined words."""
     words = data.translate(FOLD).split()
@@ -164,6 +176,7 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
+    """One row for each document; nulls, empty texts and repeated rows as at the top."""
     found = license_notices(documents(spark, sf_dir))
     labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*c))), ",")
     return found.select(

@@ -76,3 +76,31 @@ def test_every_planted_notice_within_the_bound_is_found():
             for f in found:
                 assert f.edits >= distance(f.notice, f"zz zz {planted} zz zz"[f.start : f.end])
                 assert f.edits <= len(f.notice) // licenses.PER_EDIT
+
+
+def test_notices_next_to_one_another_are_all_found():
+    assert [(f.start, f.end, f.edits) for f in licenses.fuzzy("zz mit licence mit license zz") if f.label == "mit"] == [(3, 14, 1), (15, 26, 0)]
+    assert [(f.start, f.edits) for f in licenses.fuzzy("x apache licence apache license apache licens y") if f.label == "apache"] == [(2, 1), (17, 0), (32, 1)]
+    rng = random.Random(8)
+    for _ in range(60):
+        picked = [rng.choice(licenses.NOTICES[:6] + licenses.NOTICES[9:12]) for _ in range(rng.randrange(2, 6))]
+        words, planted = "", []
+        for text, label in picked:
+            at = rng.randrange(1, len(text) - 1)
+            changed = text[:at] + "q" + text[at + 1 :] if text[at] != " " else text
+            words += " " * bool(words)
+            planted.append((len(words), len(words) + len(changed), label, text))
+            words += changed
+        found = licenses.fuzzy(words)
+        for a, b, label, text in planted:
+            assert any(f.notice == text and f.start < b and a < f.end and f.edits <= distance(words[a:b], text) for f in found), (words, text)
+        for text, _ in licenses.NOTICES:
+            own = [f for f in found if f.notice == text]
+            assert all(f.end <= g.start for f, g in zip(own, own[1:]))
+            assert all(distance(words[f.start : f.end], text) <= f.edits <= len(text) // licenses.PER_EDIT for f in own)
+
+
+def test_repeated_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "mit licence"), (1, "mit licence"), (None, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = licenses.op2_licenses(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.labels, r.n_words) for r in rows) == [(0, "", 0), (1, "mit", 2), (1, "mit", 2)]
