@@ -2,9 +2,10 @@ r"""Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned for candidates: assignments, access keys, long hexadecimal runs (the base
 kinds) and other high-entropy tokens (kind ``token``). Candidate values are hashed, and their
-hashes counted over distinct repositories and distinct owners. A value that many owners share is a
-widely copied example; one that few owners have and that looks live (enough entropy, no filler
-words) is an owner-specific credential. The base spans are always kept; a high-entropy token
+hashes counted over distinct repositories and distinct owners. A value that many owners share, or
+that two owners have in many repositories, is a widely copied example; any other that looks live
+(enough entropy, no filler words) is an owner-specific credential, in however many repositories of
+its one owner it was copied. The base spans are always kept; a high-entropy token
 becomes a span only if it is such a credential and no base span covers it.
 
 Spans are code points [start, end) of the whole match. Defined results: a null text is empty, a
@@ -38,8 +39,8 @@ TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 #: Words that mark a value as filler.
 FILLER = ("example", "sample", "changeme", "placeholder", "dummy", "your", "test", "xxxx", "0000", "1234567", "abcdef")
 MASK = "<secret>"
-#: A value with at least this many owners is a widely copied example.
-COMMON_OWNERS = 3
+#: A value with at least this many owners, or with two and this many repositories, is a widely copied example.
+COMMON_OWNERS, COMMON_REPOSITORIES = 3, 16
 #: Bits a character of a live-looking value.
 ENTROPY = 3.0
 
@@ -90,7 +91,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
     spans = scanned.select("repository", "owner", F.explode("found").alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.live").alias("live"), F.coalesce("repository", F.lit("\0")).alias("repository"), F.coalesce("owner", F.lit("\0")).alias("owner"))
     each = spans.groupBy("hash", "live", "repository", "owner").agg(F.lit(1))
     counts = each.groupBy("hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"), F.max("live").alias("live"))
-    kind = F.when(F.col("n_owners") >= COMMON_OWNERS, "example").when(F.col("live"), "live").otherwise("other")
+    copied = (F.col("n_owners") >= COMMON_OWNERS) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= COMMON_REPOSITORIES))
+    kind = F.when(copied, "example").when(F.col("live"), "live").otherwise("other")
     return counts.select("hash", "n_repositories", "n_owners", kind.alias("class"))
 
 
@@ -111,6 +113,7 @@ def joined(spans: Column) -> Column:
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, which is a repository; its source is the owner. Odd rows as at the top."""
     docs = documents(spark, sf_dir)
     found = find_secrets(docs, F.col("doc_id"), F.col("source"))
     count = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")

@@ -65,6 +65,24 @@ def test_owner_counts_and_classes(spark):
     assert got[key("samesamesame")] == (1, 1, "other")
 
 
+def test_repositories_count_for_values_of_two_owners(spark):
+    spread, own = "Kd83mZqP0xV7wLb2RtYn", "Jw55nBqT1yC8vMa3SuXp"
+    rows = [(i, f"x {spread} {own if i % 2 else ''}", "ab"[i % 2], f"r{i}") for i in range(secrets.COMMON_REPOSITORIES)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, source string, repo string")
+    key = lambda v: sha256(v.encode()).hexdigest()
+    for frame, kind in ((docs, "example"), (docs.where("doc_id > 0"), "live")):
+        got = {r.hash: (r.n_repositories, r.n_owners, r["class"]) for r in secrets.ownership(secrets.scan(frame, F.col("repo"), F.col("source"))).collect()}
+        assert got[key(spread)] == (frame.select("repo").distinct().count(), 2, kind)
+        assert got[key(own)] == (len(rows) // 2, 1, "live")
+
+
+def test_empty_table(spark, tmp_path):
+    docs = frame(spark).limit(0)
+    assert secrets.find_secrets(docs, F.col("repo"), F.col("source")).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert secrets.op1_secrets(spark, str(tmp_path)).count() == 0
+
+
 def test_redaction(spark):
     docs = frame(spark)
     out = {r.doc_id: r for r in secrets.redacted(docs, F.col("repo"), F.col("source")).collect()}
