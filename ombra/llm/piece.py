@@ -1,8 +1,9 @@
 """Subword pieces of a sentencepiece model file: normalisation with alignment, merging, decoding.
 
 The model file is read as a protocol buffer. Text is normalised by the longest prefixes that the
-compiled character map knows; each normalised byte keeps the original byte span that it came from,
-so every piece can be projected back. Pieces are made by popping the best-ranked adjacent pair from
+compiled character map knows, looked up where a prefix may begin; what stands between is taken over
+at once. Each normalised byte keeps the place of the original character that it came from, so every
+piece is projected back. A model with an empty map takes the same way, without lookups. Pieces are made by popping the best-ranked adjacent pair from
 a heap over a linked list of symbols. Where no piece of the vocabulary runs from a letter into a
 following word-start mark, the text is cut there first: no merge can cross such a cut, the result
 is the same and repeated words are merged once.
@@ -18,6 +19,7 @@ from itertools import chain
 import numpy as np
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of the per-process word tables; their bound costs time but no result.
 TABLE = 100_000
@@ -58,6 +60,7 @@ class CharMap:
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
         self.out = blob[4 + size :]
         self.first = frozenset(b for b in range(256) if self.units and self.child(self.start(), b))
+        self.begins = np.isin(np.arange(256), list(self.first))
 
     def start(self) -> int:
         return self.offset(self.units[0])
@@ -128,7 +131,8 @@ class Pieces:
         self.end = names.index("</s>") if "</s>" in names else None
         self.surface = [p.replace(MARK, " ").encode() if t == NORMAL else bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" for p, t in zip(names, types, strict=True)]
         self.leads = [t == NORMAL and p.startswith(MARK) for p, t in zip(names, types, strict=True)]
-        self.width = np.array([len(s) for s in self.surface], np.int64)
+        #: Bytes of each piece in normalised text.
+        self.width = np.array([len(p.encode()) if t == NORMAL else 1 for p, t in zip(names, types, strict=True)], np.int64)
         self.text = [str(n) for n in range(len(names))]
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(MARK in p.lstrip(MARK) for p in self.id) else re.compile(r"(?s).+")
         #: Adjacent characters somewhere in a piece: a cut between two others can't be crossed by a merge.
@@ -137,41 +141,39 @@ class Pieces:
 
     # -- normalisation
 
+    def mapped(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes after the character map, and for each the place of the character it came from; one more place is the end."""
+        n = len(data)
+        at = np.arange(n + 1)
+        lead = np.append((data & 0xC0) != 0x80, True)
+        at = np.maximum.accumulate(np.where(lead, at, 0))
+        places = np.flatnonzero(self.map.begins[data] & lead[:-1]).tolist()
+        if not places:
+            return data, at
+        raw, out, source, done = data.tobytes(), [], [], 0
+        for i in places:
+            if i >= done and (found := self.map.longest(raw, i)):
+                put, size = found
+                out += [data[done:i], np.frombuffer(put, np.uint8)]
+                source += [at[done:i], np.full(len(put), i)]
+                done = i + size
+        return np.concatenate([*out, data[done:]]), np.concatenate([*source, at[done:]])
+
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each the original position; one more position closes the last."""
-        out, at = bytearray(), []
-        n, mark = len(data), MARK.encode()
-
-        def step(i: int) -> tuple[bytes, int]:
-            if found := self.map.longest(data, i):
-                return found
-            size = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-            return data[i : i + size], size
-
-        i = 0
-        if self.squeeze:
-            while i < n and (found := step(i))[0] == b" ":
-                i += found[1]
-        if i < n and self.dummy:
-            out += mark
-            at += [i] * 3
-        blank = self.squeeze
-        while i < n:
-            piece, size = step(i)
-            if blank and self.squeeze:
-                piece = piece.lstrip(b" ")
-            if piece:
-                put = piece.replace(b" ", mark)
-                out += put
-                at += [i] * len(put)
-                blank = piece.endswith(b" ")
-            i += size
-        if self.squeeze:
-            while out.endswith(mark):
-                del out[-3:]
-                i = at[-3]
-                del at[-3:]
-        return bytes(out), np.array([*at, i], np.int64)
+        out, at = self.mapped(np.frombuffer(data, np.uint8))
+        blank = out == 32
+        if self.squeeze and blank.any():
+            # blanks at the start, after another one, or at the end go
+            keep = ~(blank & np.concatenate(([True], blank[:-1])))
+            last = np.flatnonzero(keep & ~blank)
+            stop = int(last[-1]) + 1 if len(last) else 0
+            keep[stop:] = False
+            out, blank, at = out[keep], blank[keep], np.append(at[:-1][keep], at[stop])
+        put, at = out.tobytes().replace(b" ", MARK_BYTES), np.repeat(at, np.append(np.where(blank, len(MARK_BYTES), 1), 1))
+        if self.dummy and put:
+            put, at = MARK_BYTES + put, np.concatenate((np.repeat(at[:1], len(MARK_BYTES)), at))
+        return put, at
 
     # -- merging
 
@@ -254,7 +256,7 @@ class Pieces:
         return left + sum(len(c.encode()) - 1 for i, c in enumerate(word) if end[i] == i + 1 and c not in self.id)
 
     def marked(self, text: str) -> str:
-        """The normalised text."""
+        """The normalised text; where nothing is mapped or squeezed, places aren't needed to get it."""
         if self.plain:
             return (MARK if self.dummy and text else "") + text.replace(" ", MARK)
         return self.normalise(text.encode())[0].decode()
@@ -262,34 +264,27 @@ class Pieces:
     # -- encoding and decoding
 
     def encode(self, text: str) -> Encoding:
-        if self.plain and MARK not in text and self.bytes:
-            ids = self.ids(self.marked(text))
-            widths = self.width[ids] if ids else np.zeros(0, np.int64)
-            ends = np.cumsum(widths)
-            if self.dummy and ids:
-                ends -= 1  # the mark before the text stands for none of its bytes
-            return Encoding(ids, np.maximum(ends - widths, 0), ends)
+        """Ids and spans: the widths of the pieces cut the normalised bytes, whose places project them on the text."""
         norm, at = self.normalise(text.encode())
-        ids, ends = [], []
-        where = 0
-        for w in self.cut.findall(norm.decode()):
-            for s in self.symbols(w):
-                size = len(s.encode())
-                if (found := self.id.get(s)) is not None:
-                    ids.append(found)
-                    ends.append(where + size)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in s.encode()]
-                    ends += range(where + 1, where + size + 1)
-                elif ids and ids[-1] == self.unknown:
-                    ends[-1] = where + size
-                else:
-                    ids.append(self.unknown)
-                    ends.append(where + size)
-                where += size
-        stops = np.array(ends, np.int64)
-        starts = np.concatenate(([0], stops[:-1])).astype(np.int64)
-        return Encoding(ids, at[starts] if ids else starts[:0], at[stops])
+        ids, stops = self.ids_and_stops(norm.decode())
+        starts = np.concatenate(([0], stops[:-1])) if len(ids) else stops
+        return Encoding(ids, at[starts], at[stops])
+
+    def ids_and_stops(self, norm: str) -> tuple[list[int], np.ndarray]:
+        """Ids, and where each ends in the normalised bytes."""
+        if self.bytes:
+            ids = self.ids(norm)
+            return ids, np.cumsum(self.width[ids]) if ids else np.zeros(0, np.int64)
+        ids, ends, where = [], [], 0
+        for s in (s for w in self.cut.findall(norm) for s in self.symbols(w)):
+            where += len(s.encode())
+            found = self.id.get(s, self.unknown)
+            if found == self.unknown and ids and ids[-1] == found:
+                ends[-1] = where
+            else:
+                ids.append(found)
+                ends.append(where)
+        return ids, np.array(ends, np.int64)
 
     def decode(self, ids: list[int]) -> str:
         surface = self.surface

@@ -60,7 +60,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256, spans_sha256); the last digests the pieces' ends as 64-bit little-endian integers."""
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256, spans_sha256); the last digests the begins, then the ends of the pieces as 64-bit little-endian integers."""
     path = path or model_path()
 
     def rows(keys: list, texts: list) -> Iterable[tuple]:
@@ -69,16 +69,13 @@ def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = model.encode(text)
             ids = [*found.ids, model.end]
             line = " ".join([model.text[i] for i in ids])
-            yield key, len(ids), sha256(line.encode()).hexdigest(), sha256(model.decode(ids).encode()).hexdigest(), sha256(np.ascontiguousarray(found.ends, "<i8")).hexdigest()
+            yield key, len(ids), sha256(line.encode()).hexdigest(), sha256(model.decode(ids).encode()).hexdigest(), sha256(np.concatenate((found.begins, found.ends)).astype("<i8", copy=False)).hexdigest()
 
     return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", rows)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, ends): ids with an end id as little-endian 16-bit integers, and the pieces' ends in bytes of the text as 32-bit ones.
-
-    A piece begins where the one before it ends, but for pieces of one source character.
-    """
+    """Rows (doc_id, n_tokens, ids, begins, ends): ids with an end id as little-endian 16-bit integers, and where the pieces begin and end in bytes of the text as 32-bit ones."""
     path = path or model_path()
 
     def rows(keys: list, texts: list) -> Iterable[tuple]:
@@ -86,10 +83,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for key, text in zip(keys, texts, strict=True):
             found = model.encode(text)
             ids = np.array([*found.ids, model.end], "<u2")
-            yield key, len(ids), ids.tobytes(), np.append(found.ends, len(text.encode())).astype("<u4").tobytes()
+            begins, ends = (np.append(x, len(text.encode())).astype("<u4").tobytes() for x in (found.begins, found.ends))
+            yield key, len(ids), ids.tobytes(), begins, ends
 
-    return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "doc_id long, n_tokens long, ids binary, ends binary", rows)
+    return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "doc_id long, n_tokens long, ids binary, begins binary, ends binary", rows)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """One row for each document; nulls, empty texts and repeated rows as at the top."""
     return encoded_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -49,10 +49,39 @@ def test_character_map_against_the_library(rule):
     spec = dict(piece.fields(lib.serialized_normalizer_spec()))
     model = piece.Pieces(PATH)
     model.map, model.plain, model.dummy, model.squeeze = piece.CharMap(spec.get(2, b"")), False, bool(spec.get(3, 1)), bool(spec.get(4, 1))
-    for t in ["ﬁ ½ Ａ１ ｶﾞ é é", "​﻿x\ty", "Straße ǅ ẞ", "①②  ㍿", ""]:
+    for t in ["ﬁ ½ Ａ１ ｶﾞ é é", "​﻿x\ty", "Straße ǅ ẞ", "①②  ㍿", "", " ", "   ", "  a  ½ b ﬁ  ", "　x　　y　", "ﷺ ﷺ ", "a" * 300 + "ｶﾞ" * 50]:
         norm, at = model.normalise(t.encode())
         assert norm.decode() == lib.normalize(t)
         assert len(at) == len(norm) + 1 and (at[1:] >= at[:-1]).all()
+        slow, places = slowly(model, t.encode())
+        assert slow == norm and places == at.tolist()
+
+
+def slowly(model, data):
+    """Byte by byte: the longest known prefix, or a character; blanks at the ends and after blanks are left out if squeezed."""
+    out, i = [], 0
+    while i < len(data):
+        size = next((n for n in (1, 2, 3, 4) if len(data) >= i + n and _whole(data[i : i + n])), 1)
+        put, size = model.map.longest(data, i) or (data[i : i + size], size)
+        out += [(b, i) for b in put]
+        i += size
+    end = len(data)
+    if model.squeeze:
+        out = [x for n, x in enumerate(out) if x[0] != 32 or (n and out[n - 1][0] != 32)]
+        while out and out[-1][0] == 32:
+            end = out.pop()[1]
+        if not out and data:
+            end = 0
+    mark = "▁".encode()
+    pieces = ([(mark, out[0][1])] if out and model.dummy else []) + [(mark if b == 32 else bytes([b]), i) for b, i in out]
+    return b"".join(p for p, _ in pieces), [i for p, i in pieces for _ in p] + [end]
+
+
+def _whole(data):
+    try:
+        return len(data.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 def test_query_matches_library(spark, tmp_path):
