@@ -113,49 +113,76 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Rows (id, source, size, mix_key, begin, source_size, target, taken), one for each row of ``docs``."""
+    """Rows (id, source, size, mix_key, begin, source_size, target, position, taken, first_slot, n_uses), one for each row of ``docs``.
+
+    ``first_slot`` is the first slot whose block holds words of the document, null if nothing of it
+    is taken; ``n_uses`` counts the uses: once for each slot and pass over the source that takes words.
+    """
+    return mixture(docs, source, id_col, text_col, block)[0]
+
+
+def mixture(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What ``mix`` gives, and the schedule (slot, position, rank)."""
     order, _ = written(shuffled(docs, source, id_col, text_col), "mixing")
     sizes = order.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims, _ = written(targets(sizes).withColumn("goal", F.least(F.round("target").cast("long"), F.col("source_size") * MOST)), "mixing")
-    slots = schedule(aims.select("position", "goal"), block)
+    slots, _ = written(schedule(aims.select("position", "goal"), block), "mixing")
     # a slot is a run of the source's words, repeated end to end; cut at its end into runs of one pass
     aimed = slots.join(aims.select("position", "source_size", "goal"), "position")
     start, stop = F.col("rank") * block, F.least((F.col("rank") + 1) * block, F.col("goal"))
     turns = F.sequence(F.floor(start / F.col("source_size")), F.floor((stop - 1) / F.col("source_size")))
-    runs = aimed.select("position", "source_size", start.alias("start"), stop.alias("stop"), F.explode(turns).alias("turn"))
+    runs = aimed.select("slot", "position", "source_size", start.alias("start"), stop.alias("stop"), F.explode(turns).alias("turn"))
     base = F.col("turn") * F.col("source_size")
-    runs = runs.select("position", (F.greatest("start", base) - base).alias("a"), (F.least("stop", base + F.col("source_size")) - base).alias("b"))
+    runs = runs.select("slot", "position", (F.greatest("start", base) - base).alias("a"), (F.least("stop", base + F.col("source_size")) - base).alias("b"))
     # equal-token blocks of the source: a run touches two at most, a document as many as it is long
     grid = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / block), F.floor((F.col(y) - 1) / block))).alias("block")
-    runs = runs.select("position", "a", "b", grid("a", "b"))
-    runs = runs.select("position", "block", F.greatest("a", F.col("block") * block).alias("a"), F.least("b", (F.col("block") + 1) * block).alias("b"))
-    runs = runs.groupBy("position", "block", "a", "b").agg(F.count(F.lit(1)).alias("times"))
-    runs = runs.groupBy("position", "block").agg(F.collect_list(F.struct("a", "b", "times")).alias("runs"))
+    runs = runs.select("slot", "position", "a", "b", F.floor(F.col("a") / block).alias("home"), grid("a", "b"))
+    runs = runs.select("slot", "position", "home", "block", F.greatest("a", F.col("block") * block).alias("a"), F.least("b", (F.col("block") + 1) * block).alias("b"))
+    # a run that goes on in the next block is counted there only for documents that begin in that block
+    runs = runs.groupBy("position", "block", "a", "b", (F.col("block") > F.col("home")).alias("on")).agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
+    runs = runs.groupBy("position", "block").agg(F.collect_list(F.struct("a", "b", "times", "slot", "on")).alias("runs"))
     placed = order.join(aims, order["source"].eqNullSafe(aims["source"])).select(order["*"], "position", "source_size", "target")
     placed = placed.withColumn("row", F.struct("id", "mix_key", "begin", "size"))
     pieces = placed.where("size > 0").withColumn("end", F.col("begin") + F.col("size")).select("position", "row", "begin", "end", grid("begin", "end"))
-    overlap = lambda r: F.greatest(F.least(r["b"], F.col("end")) - F.greatest(r["a"], F.col("begin")), F.lit(0)) * r["times"]
-    used = pieces.join(runs, ["position", "block"]).select("position", "row", F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + overlap(r)).alias("used"))
-    used = used.groupBy("position", "row").agg(F.sum("used").alias("used")).select("position", F.col("row.id").alias("u_id"), F.col("row.mix_key").alias("mix_key"), F.col("row.begin").alias("begin"), F.col("row.size").alias("size"), "used")
-    whole = placed.drop("row").join(used, ["position", "mix_key", "begin", "size"], "left")
-    taken = F.when(F.col("size") > 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return whole.select("id", "source", "size", "mix_key", "begin", "source_size", "target", taken.alias("taken"))
+    overlap = lambda r: F.greatest(F.least(r["b"], F.col("end")) - F.greatest(r["a"], F.col("begin")), F.lit(0))
+    counted = lambda r: (overlap(r) > 0) & (~r["on"] | (F.col("begin") >= F.col("block") * block))
+    used = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + overlap(r) * r["times"])
+    uses = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + F.when(counted(r), r["times"]).otherwise(F.lit(0)))
+    met = F.array_min(F.transform(F.filter("runs", lambda r: overlap(r) > 0), lambda r: r["slot"]))
+    found = pieces.join(runs, ["position", "block"]).select("position", "row", used.alias("used"), uses.alias("uses"), met.alias("slot"))
+    found = found.groupBy("position", "row").agg(F.sum("used").alias("used"), F.sum("uses").alias("uses"), F.min("slot").alias("first_slot"))
+    found = found.select("position", F.col("row.mix_key").alias("mix_key"), F.col("row.begin").alias("begin"), F.col("row.size").alias("size"), "used", "uses", "first_slot")
+    whole = placed.drop("row").join(found, ["position", "mix_key", "begin", "size"], "left")
+    when = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    names = ("id", "source", "size", "mix_key", "begin", "source_size", "target", "position")
+    return whole.select(*names, when("used").alias("taken"), F.when(F.col("size") > 0, F.col("first_slot")).alias("first_slot"), when("uses").alias("n_uses")), slots
 
 
 def mixed(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, to the nearest whole time."""
-    found = mix(docs, source, id_col, text_col, block).where("size > 0")
-    each = found.select("mix_key", "size", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("times"))
-    each = each.groupBy("mix_key", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0")
+    """``docs`` as the mix takes them: each row as often as it is taken, to the nearest whole time, in the order of the schedule.
+
+    A use stands where the slot that holds its first word stands; rows are range-partitioned and sorted by slot.
+    """
+    found, slots = mixture(docs, source, id_col, text_col, block)
+    times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    uses = found.where("size > 0").select("mix_key", "size", "begin", "source_size", "position", times.alias("times")).where("times > 0")
+    uses = uses.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn"))
+    # each use of a key gets a number, so that rows that share a key share its uses
+    uses = uses.select("*", F.floor((F.col("turn") * F.col("source_size") + F.col("begin")) / block).alias("rank")).join(slots, ["position", "rank"])
+    each = W.partitionBy("mix_key", "size")
+    uses = uses.select("mix_key", "size", "slot", (F.row_number().over(each.orderBy("slot", "begin")) - 1).alias("use"))
     rows = docs.select(mix_key(id_col).alias("mix_key"), size_of(F.col(text_col)).alias("size"), F.struct("*").alias("doc"))
-    # rows that share a key share its uses
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("mix_key", "size").orderBy(F.xxhash64("doc"))))
-    uses = F.expr("cast((times + rows - n) div rows as int)")
-    return rows.join(each, ["mix_key", "size"]).withColumn("uses", uses).where("uses > 0").select("doc", F.explode(F.sequence(F.lit(1), "uses"))).select("doc.*")
+    rows = rows.select("*", (F.row_number().over(each.orderBy(F.xxhash64("doc"))) - 1).alias("n"), F.count(F.lit(1)).over(each).alias("rows"))
+    met = rows.join(uses, ["mix_key", "size"]).where(F.pmod("use", "rows") == F.col("n"))
+    return met.repartitionByRange("slot", "mix_key", "use").sortWithinPartitions("slot", "mix_key", "use").select("doc.*")
+
+
+def op5_sql(block: int = BLOCK) -> str:
+    """The mix in SQL: the taken words follow from the goals (whole passes, then the part of the last), slots and uses from the schedule."""
+    return SQL.replace("{block}", str(block)).replace("{golden}", str(GOLDEN)).replace("{points}", str(POINTS))
 
 
-#: The taken words follow from the goals alone: whole passes, then the part of the last pass.
-OP5_SQL = r"""
+SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
@@ -179,14 +206,47 @@ WITH d AS (
   SELECT source, source_size, round(least(source_size * 3.0, w * final), 6) AS target FROM l, f
 ), g AS (
   SELECT *, least(CAST(round(target) AS BIGINT), source_size * 3) AS goal FROM t
+), h AS (
+  SELECT n.pos, g.*, sum(goal) OVER (ORDER BY n.pos) AS share, sum(goal) OVER () AS words, (goal + {block} - 1) // {block} AS wanted
+  FROM g JOIN n ON g.source IS NOT DISTINCT FROM n.source
+), i AS (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY pos), 0) AS low
+  FROM (SELECT *, CAST(floor(share * {points} / CAST(greatest(words, 1) AS HUGEINT)) AS BIGINT) AS high FROM h WHERE goal > 0)
+), c AS (
+  SELECT CAST((coalesce(max(words), 0) + {block} - 1) // {block} AS BIGINT) AS n FROM h
+), x AS (
+  SELECT slot, pos, row_number() OVER (PARTITION BY pos ORDER BY slot) - 1 AS rank, wanted
+  FROM (SELECT range AS slot, (range % {points}) * {golden} % {points} AS point FROM range((SELECT n FROM c))) JOIN i ON low <= point AND point < high
+), y AS (
+  SELECT pos, goal, wanted, coalesce((SELECT count(*) FROM x WHERE x.pos = h.pos AND rank < x.wanted), 0) AS have FROM h
+), z AS (
+  SELECT *, sum(wanted - have) OVER (ORDER BY pos) - (wanted - have) AS first FROM y WHERE wanted > have
+), o AS (
+  SELECT slot, pos, rank FROM x WHERE rank < wanted
+  UNION ALL
+  SELECT c.n + first + rank - have, pos, rank FROM (SELECT *, unnest(range(have, wanted)) AS rank FROM z), c
+), q AS (
+  SELECT slot, o.pos, rank * {block} AS start, least((rank + 1) * {block}, goal) AS stop, source_size FROM o JOIN h ON o.pos = h.pos
+), m AS (
+  SELECT *, unnest(range(start // source_size, (stop - 1) // source_size + 1)) AS turn FROM q
+), u AS (
+  SELECT slot, pos, greatest(start - turn * source_size, 0) AS a, least(stop - turn * source_size, source_size) AS b FROM m
+), v AS (
+  SELECT d.source, d.k, d.size, d.b, min(slot) AS first_slot, count(*) AS n_uses
+  FROM p AS d JOIN n ON d.source IS NOT DISTINCT FROM n.source JOIN u ON u.pos = n.pos AND u.a < d.b + d.size AND d.b < u.b
+  WHERE d.size > 0 GROUP BY ALL
 )
 SELECT p.doc_id, p.size, g.source_size, CAST(g.target AS DOUBLE) AS target,
        CAST(CASE WHEN p.size = 0 THEN 0 ELSE p.size * (goal // g.source_size)
-         + least(goal % g.source_size, p.b + p.size) - least(goal % g.source_size, p.b) END AS BIGINT) AS taken
+         + least(goal % g.source_size, p.b + p.size) - least(goal % g.source_size, p.b) END AS BIGINT) AS taken,
+       CAST(v.first_slot AS BIGINT) AS first_slot, CAST(coalesce(v.n_uses, 0) AS BIGINT) AS n_uses
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+LEFT JOIN v ON p.source IS NOT DISTINCT FROM v.source AND p.k = v.k AND p.size = v.size AND p.b = v.b
 """
+OP5_SQL = op5_sql()
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """One row for each document; nulls, empty texts and repeated rows as at the top."""
     found = mix(documents(spark, sf_dir), F.col("source"))
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_uses")
