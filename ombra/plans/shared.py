@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -48,6 +52,22 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables written inside are deleted at its end, but for those whose paths the block adds to the set."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _watching.append(made)
+    try:
+        yield kept
+        forget(spark, *(p for p in made if p not in kept))
+    finally:
+        _watching.remove(made)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan whose rows reach all cores: one that leaves most of them idle is dealt out anew.
 

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from ombra.engine import Engine, RequestError
@@ -37,3 +41,9 @@ def test_blocks_find_what_the_whole_text_has(spark):
     keys = ["doc_id", "entity_type", "start", "end"]
     assert whole.select(*keys).exceptAll(parts.select(*keys)).count() == 0 == parts.select(*keys).exceptAll(whole.select(*keys)).count()
     assert parts.where("entity_type = 'EMAIL_ADDRESS'").count() == 201
+
+
+def test_entry_without_a_library_of_the_corpus_operators():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'anonymise_docs' in q and 'op2_licenses' not in q and 'pipeline' not in q and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
