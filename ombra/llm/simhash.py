@@ -4,7 +4,9 @@ A document's fingerprint is the bitwise majority of the hashes of its word shing
 within ``RADIUS`` differing bits are linked and a component takes the smallest document id.
 
 Candidates come from an exact pigeonhole split: of six bit blocks at least two are untouched by
-four differing bits, so every link meets under one of fifteen pairs of blocks. Rows that meet are
+four differing bits, so every link meets under one of fifteen pairs of blocks. Tables with more
+fingerprints take seven or eight blocks, three or four of them untouched, whose longer keys keep as
+few rows under each; every split finds the same links. Rows that meet are
 gathered into blocks of bit planes (bit k of all fingerprints lies in one run of words) and many
 distances are counted at once with carry-save adders; a query leaves the block as soon as all its
 distances exceed the radius. A block gives a spanning forest of its links, never all pairs.
@@ -23,7 +25,7 @@ from itertools import accumulate, chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ombra.llm.common import components, documents, map_rows, text_bytes, written
@@ -31,8 +33,14 @@ from ombra.llm.common import components, documents, map_rows, text_bytes, writte
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Rows compared with one another in one go.
 BLOCK = 1024
-#: (first bit, width) of the six blocks of a fingerprint.
-PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Blocks of a fingerprint, and up to how many fingerprints: the rows under a key stay near ``BLOCK``.
+SPLITS = ((6, 1 << 31), (7, 1 << 37), (8, 1 << 62))
+
+
+def parts(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each block, as even as can be."""
+    cuts = [64 * n // blocks for n in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def shingles(text: bytes, size: int = WORDS) -> list[bytes]:
@@ -61,13 +69,17 @@ def fingerprint(text: bytes, size: int = WORDS, seed: int = SEED) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp): the fingerprint as a signed 64-bit integer."""
+    """Rows (id, fp, key): the fingerprint as a signed 64-bit integer, and a hash of the text."""
+
+    def rows(ids: list, keys: list, texts: list) -> Iterable[tuple]:
+        for i, key, t in zip(ids, keys, texts, strict=True):
+            yield i, int.from_bytes(fingerprint(t), "big", signed=True), key
+
+    return map_rows(docs, [F.col(id_col).cast("long").alias("id"), text_key(text_col), text_bytes(text_col)], "id long, fp long, key long", rows)
 
-    def rows(ids: list, texts: list) -> Iterable[tuple]:
-        for i, t in zip(ids, texts, strict=True):
-            yield i, int.from_bytes(fingerprint(t), "big", signed=True)
 
-    return map_rows(docs, [F.col(id_col).cast("long").alias("id"), text_bytes(text_col)], "id long, fp long", rows)
+def text_key(text_col: str = "text") -> Column:
+    return F.xxhash64(text_col).alias("key")
 
 
 def near(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +127,8 @@ def exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int)
     return out
 
 
-def forest(fps: np.ndarray, reps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Links that span the components of the rows within ``radius`` of one another."""
+def forest(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+    """Links, as rows, that span the components of the fingerprints within ``radius`` of one another."""
     adjacent: dict[int, list[int]] = {}
     for at in range(0, len(fps), BLOCK):
         q, r = near(fps[at : at + BLOCK], fps, radius)
@@ -137,21 +149,31 @@ def forest(fps: np.ndarray, reps: np.ndarray, radius: int = RADIUS) -> Iterator[
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
-                    yield int(reps[root]), int(reps[x])
+                    yield root, x
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (a, b): links between the representatives of classes (fp, rep) that keep every component whole."""
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Rows (a, b): links between distinct fingerprints (fp) that keep every component whole."""
     if radius > 4:
-        raise ValueError("the six-block split is exact up to four differing bits")
-    part = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1) for at, width in PARTS]
-    keys = [F.lit(n << 22) + part[i] * 2048 + part[j] for n, (i, j) in enumerate(combinations(range(6), 2))]
-    keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+        raise ValueError("the splits are exact up to four differing bits")
+    if blocks is None:
+        total = prints.count()
+        blocks = next(n for n, most in SPLITS if total <= most)
+    cuts = parts(blocks)
+    part = lambda n: F.shiftrightunsigned("fp", cuts[n][0]).bitwiseAND((1 << cuts[n][1]) - 1)
+    # untouched blocks side by side under the number of their choice: at most 7 and 32 bits
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - 4)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, cuts[i][1]).bitwiseOR(part(i))
+        keys.append(key)
+    keyed = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
     counts = keyed.groupBy("key").count().where("count > 1")
     chunks = F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")
-    met = keyed.join(counts, "key").select("key", "fp", "rep", chunks.alias("n"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("c"))
-    dealt = met.select("key", "fp", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "fp", "rep")
+    met = keyed.join(counts, "key").select("key", "fp", chunks.alias("n"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("c"))
+    dealt = met.select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -182,21 +204,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
 
 
 def compared(held: list[np.ndarray], radius: int) -> pa.RecordBatch:
-    rows = np.concatenate(held)
-    fps, first = np.unique(rows[:, 3], return_index=True)
-    found = list(forest(fps.view(np.uint64), rows[first, 4], radius))
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    fps = np.unique(np.concatenate(held)[:, 3])
+    found = np.array(list(forest(fps.view(np.uint64), radius)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(fps[found[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Rows (id, fp, component) of all documents."""
+    """Rows (id, fp, key, component, group) of all documents: ``key`` hashes the text, ``group`` is the smallest linked fingerprint."""
     prints, _ = written(fingerprints(docs, id_col, text_col), "simhash")
     classes, _ = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash")
-    found = components(links(classes, radius), "simhash")
-    of = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(of, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    found = components(links(classes.select("fp"), radius), "simhash")
+    of = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    lowest = of.groupBy("group").agg(F.min("rep").alias("component"))
+    # written, so that adaptive execution may split the join where a fingerprint is hot
+    of, _ = written(of.join(lowest, "group").select("fp", "group", "component"), "simhash")
+    linked = F.col("id").isNotNull()
+    whole = prints.join(of, "fp", "left")
+    return whole.select("id", "fp", "key", F.when(linked, F.col("component")).alias("component"), F.when(linked, F.col("group")).alias("group"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """One row for each document; nulls, empty texts and repeated rows as at the top."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -65,8 +65,27 @@ def test_bit_sliced_distances():
 def test_hot_key_is_dealt_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     fps = [(1 << 63) - 1 - (1 << a) - (1 << b) for a in range(20) for b in range(a)]
-    classes = spark.createDataFrame([(f, n) for n, f in enumerate(fps)], "fp long, rep long")
+    prints = spark.createDataFrame([(f,) for f in fps], "fp long")
     from ombra.llm.common import components
 
-    found = components(simhash.links(classes))
-    assert {r.component for r in found.collect()} == {0} and found.count() == len(fps)
+    found = components(simhash.links(prints))
+    assert {r.component for r in found.collect()} == {min(fps)} and found.count() == len(fps)
+
+
+def test_every_split_finds_the_same_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63, 60)
+    fps = sorted({int(x) for x in base} | {int(x ^ np.int64(sum(1 << int(b) for b in rng.choice(62, 4, replace=False)))) for x in base for _ in range(6)})
+    from ombra.llm.common import components
+
+    prints = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = slow_components([(f, f % 2**64) for f in fps])
+    for blocks, _ in simhash.SPLITS:
+        found = {r.node: r.component for r in components(simhash.links(prints, blocks=blocks)).collect()}
+        assert {f: found.get(f, f) for f in fps} == want, blocks
+
+
+def test_texts_that_share_an_id_are_apart(spark):
+    docs = spark.createDataFrame([(5, "one two three four five six"), (5, "a b c d e f g h"), (2, "a b c d e f g h")], "doc_id long, text string")
+    got = sorted((r.id, r.component) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(2, 2), (5, 2), (5, 5)]
