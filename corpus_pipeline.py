@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ombra.llm import langid, mixing, pieces, secrets, simhash
-from ombra.llm.common import written
+from ombra.llm.common import documents, written
+from ombra.plans.shared import forget, passing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows with that id, the one whose text hashes lowest. Rows with a null id stay."""
-    first = simhash.near_duplicates(docs).where("id = component").select("id").distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
-    kept = rows.join(first, F.col("own") == F.col("id"), "left_semi")
-    kept = kept.withColumn("n", F.row_number().over(W.partitionBy("own").orderBy("key", "text"))).where("n = 1")
+    """One document of each group of linked fingerprints: the one with the smallest id; of texts with that id, the one that hashes lowest. Rows with a null id stay."""
+    found = simhash.near_duplicates(docs).where("id is not null")
+    first = found.groupBy("group").agg(F.min(F.struct("id", "key")).alias("first")).select("first.id", "first.key").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), simhash.text_key().alias("own_key"), F.col("text").alias("text"))
+    kept = rows.join(first, (F.col("own") == F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    # equal rows are one document
+    kept = kept.withColumn("n", F.row_number().over(W.partitionBy("own", "own_key").orderBy("text"))).where("n = 1")
     return kept.unionByName(rows.where("own is null").withColumn("n", F.lit(1))).select("doc.*")
 
 
@@ -38,12 +41,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its schedule."""
     return mixing.mixed(docs, F.col("source"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, piece ends in bytes of the text and digests for each document as taken."""
+    """Ids, and where their pieces begin and end in bytes of the text, for each document as taken."""
     return pieces.encoded(docs)
 
 
@@ -60,9 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over the whole table; what a stage wrote on its way goes once its result is stored."""
+    docs, before = documents(spark, sf_dir), None
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs, _ = written(docs, f"pipeline-{name}")
+        if n == len(STAGES) - 1:
+            docs = stage(spark, docs, sf_dir)
+        else:
+            with passing(spark) as kept:
+                docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                kept.add(path)
+            if before:
+                forget(spark, before)
+            before = path
     return docs
