@@ -12,11 +12,13 @@ filled with the end id. Shards are rows of a Parquet table in the shared folder,
 records, crc32, payload), so that any store can hold them and a lost task is simply written again;
 ``read_slots`` reads a range of them.
 
-Ids are written once as a table before they are numbered: numbers come from that table's parts, so
-they don't change when a later task is run again.
+Numbers follow a stable order of the documents, by a hash of id and text, then id, then ids: the
+same documents get the same slots however the input is split or ordered. The hash's first bits name
+a bucket; documents are numbered within buckets, and a table of one row for each bucket has what
+comes before it, so no task sorts more than a bucket.
 
 Defined results: a null or empty text is one sequence with the end id only; equal rows are
-sequences of their own; a null id is flagged; other columns of the input are ignored; an empty
+sequences of their own, and share their slots; a null id is flagged; other columns of the input are ignored; an empty
 table gives no shards.
 """
 
@@ -32,7 +34,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ombra.llm.common import documents, map_rows, written
@@ -48,7 +52,12 @@ STRIDE = HEAD_SIZE + 2 * LENGTH
 SHARD = 4096
 KEY = "order-1"
 ROUNDS = 4
+#: Bits of a document's hash that name its bucket.
+BUCKET = 16
+#: Shards that a task writes at least, where there are more tasks than cores.
+RUN = 16
 
+_pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -92,47 +101,58 @@ def feistel(numbers: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def packed(data: bytes) -> bytes:
+    """Ids as they are shuffled and kept on the way."""
+    return _pack.compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return _unpack.decompress(data)
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (part, before, id, n, ids): a document's ids, its number of sequences, and those before it in its part of the table."""
+    """Rows (key, id, n, ids): a document's hash, its number of sequences, and its ids, packed."""
     path = path or public_tokenizers.path(RANKS)
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col))
-    schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for batch in batches:
-            parts, ids, texts = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(ids), 1024):
-                blobs = [token_ids(t, path).tobytes() for t in texts[at : at + 1024]]
-                ns = [-(-len(b) // (2 * LENGTH)) for b in blobs]
-                starts = (before + np.cumsum([0, *ns])[:-1]).tolist()
-                before += sum(ns)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((parts[at : at + 1024], starts, ids[at : at + 1024], ns, blobs), schema, strict=True)], schema=schema)
+    def rows(keys: list, ids: list, texts: list) -> Iterable[tuple]:
+        for key, i, text in zip(keys, ids, texts, strict=True):
+            blob = token_ids(text, path).tobytes()
+            yield key, i, -(-len(blob) // (2 * LENGTH)), packed(blob)
+
+    own = F.col(id_col).cast("long")
+    columns = [F.xxhash64(F.lit("order"), own, F.coalesce(F.col(text_col), F.lit(""))), own, text_or_empty(text_col)]
+    return map_rows(docs, columns, "key long, id long, n long, ids binary", rows)
 
-    return rows.mapInArrow(run, "part int, before long, id long, n int, ids binary")
+
+def numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (id, ids, number), the number being that of a document's first sequence, and the number of sequences."""
+    bucket = F.shiftrightunsigned("key", 64 - BUCKET).cast("int")
+    order = W.partitionBy("bucket").orderBy("key", "id", "ids").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = tokens.withColumn("bucket", bucket).withColumn("before", F.sum("n").over(order) - F.col("n"))
+    held, _ = written(held.drop("key"), "shards", compression="none")
+    sizes = held.groupBy("bucket").agg(F.sum("n").alias("n"))
+    # a row for each bucket: 2**BUCKET at most, which bounds the window and the broadcast
+    base = sizes.select("bucket", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).alias("base"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return held.join(F.broadcast(base), "bucket").select("id", "ids", (F.col("base") + F.col("before")).alias("number")), total
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, path: str | None = None, shard: int = SHARD) -> tuple[DataFrame, int]:
     """The table of shards, (shard, first, records, crc32, payload), and the number of sequences."""
-    from pyspark.sql import Window as W
-
-    tokens, _ = written(tokenised(docs, id_col, text_col, path), "shards", compression="zstd")
-    # a row of two numbers for each part of the table: as many as the tasks that wrote it, which bounds the broadcast
-    parts = tokens.groupBy("part").agg(F.sum("n").alias("n"))
-    base = parts.select("part", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("base"))
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbered = tokens.join(F.broadcast(base), "part").select("id", "ids", (F.col("base") + F.col("before")).alias("number"))
+    sequences, total = numbered(tokenised(docs, id_col, text_col, path))
 
     def records(ids: list, blobs: list, numbers: list) -> Iterable[tuple]:
         for i, blob, number in zip(ids, blobs, numbers, strict=True):
+            blob = unpacked(blob)
             cuts = range(0, len(blob), 2 * LENGTH)
             slots = feistel(np.arange(number, number + len(cuts)), total, key).tolist()
             for n, (at, slot) in enumerate(zip(cuts, slots, strict=True)):
-                yield slot // shard, slot, struct.pack(HEAD, i or 0, n, min(len(blob) - at, 2 * LENGTH) // 2, i is None) + blob[at : at + 2 * LENGTH]
+                part = blob[at : at + 2 * LENGTH]
+                yield slot // shard, slot, struct.pack(HEAD, i or 0, n, len(part) // 2, i is None) + packed(part)
 
-    rows = map_rows(numbered, ["id", "ids", "number"], "shard long, slot long, record binary", records)
+    rows = map_rows(sequences, ["id", "ids", "number"], "shard long, slot long, record binary", records)
     shards = -(-total // shard)
-    tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, -(-shards // RUN), min(shards, docs.sparkSession.sparkContext.defaultParallelism))
     # whole runs of shards by partition: slots are evenly spread, so the ranges need no sample
     dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(max(1, shards))).cast("int"))
     schema = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("records", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
@@ -151,6 +171,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if held:
                         yield done()
                     now, held, first = own, [], slot
+                record = record[:HEAD_SIZE] + unpacked(record[HEAD_SIZE:])
                 held.append(record + fill[: STRIDE - len(record)])
         if held:
             yield done()
@@ -180,6 +201,6 @@ def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None, shard
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
-    """Every sequence as read back from the shards."""
+    """Every sequence as read back from the shards; nulls, empty texts and repeated rows as at the top."""
     shards, _ = write_shards(documents(spark, sf_dir))
     return read_slots(shards).select(F.col("id").alias("doc_id"), "seq", "slot", "shard", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))

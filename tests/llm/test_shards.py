@@ -1,4 +1,5 @@
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pytest
@@ -47,6 +48,50 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
         shards.read_slots(bad, shard=16).collect()
 
 
+def test_slots_dont_depend_on_how_the_input_is_split(spark):
+    rows, docs = frame(spark)
+    seen = []
+    for n in (1, 4, 16):
+        table, _ = shards.write_shards(docs.orderBy(F.rand(n)).repartition(n), shard=16)
+        seen.append(sorted((r.slot, r.id is None, r.id or 0, r.seq, bytes(r.ids)) for r in shards.read_slots(table, shard=16).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    more, _ = shards.write_shards(docs, key="other", shard=16)
+    assert sorted((r.slot, r.id is None, r.id or 0, r.seq, bytes(r.ids)) for r in shards.read_slots(more, shard=16).collect()) != seen[0]
+
+
+def test_texts_longer_than_a_shard_and_more_shards_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shards, "RUN", 1)
+    docs = spark.createDataFrame([(1, "long words " * 20000), (2, "short")], "doc_id long, text string")
+    table, total = shards.write_shards(docs, shard=4)
+    assert table.count() == -(-total // 4) > spark.sparkContext.defaultParallelism
+    parts = sorted((r.seq, bytes(r.ids)) for r in shards.read_slots(table, shard=4).where("id = 1").collect())
+    assert b"".join(p for _, p in parts) == shards.token_ids("long words " * 20000, PATH).tobytes()
+
+
+def slow_slots(total, key):
+    """The permutation one number at a time, in plain integers."""
+    half = max(1, (max(1, total - 1).bit_length() + 1) // 2)
+    keys = [int.from_bytes(blake2b(f"{key}:{r}".encode(), digest_size=8).digest(), "little") | 1 for r in range(shards.ROUNDS)]
+    wide, out = (1 << 64) - 1, []
+    for x in range(total):
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for k in keys:
+                y = (right + k) * 0x9E3779B97F4A7C15 & wide
+                y = ((y ^ y >> 29) ^ k) * 0xBF58476D1CE4E5B9 & wide
+                left, right = right, left ^ (y >> 32 & ((1 << half) - 1))
+            x = left << half | right
+            if x < total:
+                break
+        out.append(x)
+    return out
+
+
+def test_permutation_against_plain_integers():
+    for total in (1, 7, 100, 3000):
+        assert shards.feistel(np.arange(total), total, "k").tolist() == slow_slots(total, "k")
+
+
 def test_query_and_empty_table(spark, tmp_path):
     rows, docs = frame(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
