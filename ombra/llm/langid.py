@@ -2,8 +2,9 @@
 
 A word's features are its character n-grams and itself, hashed into rows of an embedding table; a
 text is the mean of its features' embeddings, classified by a linear softmax. Training is
-mini-batch gradient descent in numpy on short windows of a bounded, stratified sample of labelled
-rows. As the classifier is linear, a text's class scores are the mean of its features' scores, so
+mini-batch gradient descent in numpy on a bounded, stratified sample of labelled rows, each taught
+by its whole text: executors turn a text into its features with their counts, which are no more
+than the table has rows, however long the text. As the classifier is linear, a text's class scores are the mean of its features' scores, so
 a word's score sum is worked out once for each process and whole texts are cheap.
 
 Scores are calibrated by a temperature, fitted on sampled rows that training left out; a text is
@@ -13,13 +14,14 @@ rejected if its calibrated score is under a threshold that those rows set: the s
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; ties
 of scores go to the first language in order; a table without labelled rows teaches nothing, and
 every text of it is ``und``; rows with a null language are classified but teach nothing; equal rows
-give equal rows; other columns are ignored; an empty table gives an empty result.
+give equal rows, and each may be drawn by itself; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 from ombra.llm.common import documents, map_rows
 
 UNKNOWN = "und"
-#: Bounds of the training sample: rows a language, windows a row, words a window.
-ROWS, WINDOWS, WORDS = 400, 6, 16
+#: Bounds of the training sample: rows a language, and languages, the most frequent ones.
+ROWS, LANGUAGES = 400, 256
 #: One sampled row in this many calibrates instead of teaching.
 CALIBRATE = 4
 HASHES, DIMS = 1 << 16, 16
-EPOCHS, BATCH, RATE = 5, 64, 2.0
+#: Passes over the sample, but for small ones as many steps at least.
+EPOCHS, STEPS, BATCH, RATE = 6, 240, 32, 2.0
 GRAMS = (1, 2, 3, 4)
 #: The part of rightly classified calibration rows that may be rejected, and the highest threshold.
 REJECT, CEILING = 0.001, 0.4
@@ -177,58 +180,55 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def windows(text: str, most: int = WINDOWS, size: int = WORDS) -> list[list[str]]:
-    """Up to ``most`` runs of words, spread evenly over the whole text."""
-    words = words_of(text)
-    count = min(most, -(-len(words) // size))
-    return [words[(at := (len(words) - size) * i // max(1, count - 1) if len(words) > size else 0) : at + size] for i in range(count)]
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a whole text: hashes in order, and how often each occurs."""
+    words = Counter(words_of(text))
+    ids, owners = hashed(list(words))
+    times = np.bincount(ids, np.array(list(words.values()), np.float64)[owners] if len(ids) else None, HASHES)
+    found = np.flatnonzero(times)
+    return found, times[found].astype(np.int64)
 
 
-def train(rows: list[tuple[str, list[list[str]]]], seed: int = 9) -> Model:
-    """A model of rows (language, windows), before calibration."""
-    names = sorted({lang for lang, _ in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 9) -> Model:
+    """A model of rows (language, features, counts), before calibration."""
+    names = sorted({lang for lang, *_ in rows})
     rng = np.random.default_rng(seed)
-    vocabulary = sorted({w for _, parts in rows for part in parts for w in part})
-    ids, owners = hashed(vocabulary)
-    order = np.argsort(owners, kind="stable")
-    cuts = np.searchsorted(owners[order], np.arange(len(vocabulary) + 1))
-    own = {w: ids[order[cuts[n] : cuts[n + 1]]] for n, w in enumerate(vocabulary)}
-    samples = [(names.index(lang), ids) for lang, parts in rows for part in parts if part and len(ids := np.concatenate([own[w] for w in part]))]
+    samples = [(names.index(lang), ids.astype(np.int32), (times / times.sum()).astype(np.float32)) for lang, ids, times in rows if len(ids)]
     if not samples:
         return Model([], np.zeros((HASHES, 0), np.float32), np.zeros(0, np.float32))
     embed = rng.uniform(-1 / DIMS, 1 / DIMS, (HASHES, DIMS)).astype(np.float32)
     weights, bias = np.zeros((DIMS, len(names)), np.float32), np.zeros(len(names), np.float32)
-    share = np.bincount([y for y, _ in samples], minlength=len(names))
+    share = np.bincount([y for y, *_ in samples], minlength=len(names))
     balance = (len(samples) / np.maximum(share, 1) / len(names)).astype(np.float32)
-    steps, step = EPOCHS * -(-len(samples) // BATCH), 0
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(samples)), max(1, -(-len(samples) // BATCH))):
-            rate = RATE * (1 - step / steps)
-            step += 1
-            sizes = np.array([len(samples[i][1]) for i in batch])
-            ids = np.concatenate([samples[i][1] for i in batch]).astype(np.int32)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            mean = (np.add.reduceat(embed[ids], starts) / sizes[:, None]).astype(np.float32)
-            y = np.array([samples[i][0] for i in batch])
-            error = softmax(mean @ weights + bias)
-            error[np.arange(len(y)), y] -= 1
-            error *= balance[y, None] / len(batch)
-            back = ((error @ weights.T) / sizes[:, None]).astype(np.float32)
-            weights -= rate * (mean.T @ error)
-            bias -= rate * error.sum(axis=0)
-            order = np.argsort(ids, kind="stable")
-            firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            grads = np.add.reduceat(np.repeat(back, sizes, axis=0)[order], firsts, axis=0)
-            embed[ids[order[firsts]]] -= rate * len(batch) * grads
+    batches = -(-len(samples) // BATCH)
+    steps = max(EPOCHS, -(-STEPS // batches)) * batches
+    for step in range(steps):
+        if step % batches == 0:
+            shuffled = np.array_split(rng.permutation(len(samples)), batches)
+        batch = shuffled[step % batches]
+        rate = RATE * (1 - step / steps)
+        ids = np.concatenate([samples[i][1] for i in batch])
+        parts = np.concatenate([samples[i][2] for i in batch])
+        sizes = [len(samples[i][1]) for i in batch]
+        mean = np.add.reduceat(embed[ids] * parts[:, None], np.cumsum([0, *sizes[:-1]]))
+        y = np.array([samples[i][0] for i in batch])
+        error = softmax(mean @ weights + bias)
+        error[np.arange(len(y)), y] -= 1
+        error *= balance[y, None] / len(batch)
+        back = np.repeat(error @ weights.T, sizes, axis=0) * parts[:, None]
+        weights -= rate * (mean.T @ error)
+        bias -= rate * error.sum(axis=0)
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        embed[ids[order[firsts]]] -= rate * len(batch) * np.add.reduceat(back[order], firsts, axis=0)
     return Model(names, embed @ weights, bias)
 
 
-def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
-    """Fit the temperature by likelihood and the threshold by the kept part of (language, text) rows."""
-    known = [(lang, text) for lang, text in rows if lang in model.names]
-    found = [(model.names.index(lang), z) for (lang, _), z in zip(known, model.logits([t for _, t in known]), strict=True) if z is not None]
-    if found:
-        y, z = np.array([a for a, _ in found]), np.stack([b for _, b in found])
+def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """Fit the temperature by likelihood and the threshold by the kept part of rows (language, features, counts)."""
+    known = [(model.names.index(lang), (times @ model.scores[ids]) / times.sum() + model.bias) for lang, ids, times in rows if lang in model.names and len(ids)]
+    if known:
+        y, z = np.array([a for a, _ in known]), np.stack([b for _, b in known])
         loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 61), key=loss))
         p = softmax(z / model.temperature)
@@ -243,33 +243,40 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, int, list[list[str]], str]]:
-    """Rows (language, order, windows, calibration text): at most ``ROWS`` for each language, the ones whose keys hash lowest."""
-    key = F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"))
-    order = W.partitionBy("lang").orderBy("key", "id")
-    picked = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), key.alias("key"))
-    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS).select("id", "n")
-    texts = docs.where(allowed & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Rows (language, order, features, counts): at most ``ROWS`` for each of ``LANGUAGES`` languages, the ones whose keys hash lowest.
 
-    def rows(langs: list, numbers: list, texts: list) -> Iterable[tuple]:
-        for lang, n, text in zip(langs, numbers, texts, strict=True):
-            parts = windows(text or "")
-            if parts:
-                yield lang, n, parts
-
-    # at most ROWS ids a language: the bound that lets them be broadcast
-    chosen = texts.join(F.broadcast(picked), "id")
-    found = map_rows(chosen, ["lang", "n", "text"], "lang string, n int, parts array<array<string>>", rows).collect()
-    return sorted((r.lang, r.n, [list(p) for p in r.parts]) for r in found)
+    A key is of the whole row, so equal ids are no problem. Only rows under a bound of the hash that
+    lets about twice as many through go to the window; a language with few rows has no bound.
+    """
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), allowed.alias("allowed"))
+    rows = rows.where("allowed and lang is not null and text is not null")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return []
+    # keys are signed and evenly spread: the lowest part of them that holds twice the rows wanted
+    bound = {r.lang: int(2**64 * min(1.0, 2 * max(ROWS, 32) / r["count"])) - 2**63 - 1 for r in sizes}
+    limits = docs.sparkSession.createDataFrame(list(bound.items()), "lang string, bound long")
+    keyed = rows.join(F.broadcast(limits), "lang").withColumn("key", F.xxhash64(F.lit("langid"), "id", "text")).where("key <= bound")
+
+    def features(langs: list, keys: list, ids: list, texts: list) -> Iterable[tuple]:
+        for lang, key, i, text in zip(langs, keys, ids, texts, strict=True):
+            found, times = bag(text)
+            if len(found):
+                yield lang, key, i, found.astype("<u2").tobytes(), times.astype("<u4").tobytes()
+
+    # texts without a letter teach nothing and take no place
+    bags = map_rows(keyed, ["lang", "key", "id", "text"], "lang string, key long, id string, ids binary, times binary", features)
+    n = F.row_number().over(W.partitionBy("lang").orderBy("key", "id", "ids"))
+    picked = bags.withColumn("n", n).where(F.col("n") <= ROWS).collect()
+    return sorted(((r.lang, r.n, np.frombuffer(r.ids, "<u2").astype(np.int64), np.frombuffer(r.times, "<u4").astype(np.int64)) for r in picked), key=lambda r: r[:2])
 
 
 def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train and calibrate on a bounded sample of the allowed labelled rows."""
     rows = sample(docs, allowed, id_col, text_col, lang_col)
-    teach = [(lang, parts) for lang, n, parts in rows if n % CALIBRATE]
-    if not teach:
-        return Model([], np.zeros((HASHES, 0), np.float32), np.zeros(0, np.float32))
-    return calibrate(train(teach), [(lang, " ".join(w for p in parts for w in p)) for lang, n, parts in rows if not n % CALIBRATE])
+    model = train([(lang, ids, times) for lang, n, ids, times in rows if n % CALIBRATE])
+    return calibrate(model, [(lang, ids, times) for lang, n, ids, times in rows if not n % CALIBRATE])
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str | Column], schema: str, text_col: str = "text") -> DataFrame:
@@ -284,6 +291,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str | Column], schema:
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:
+    """One row for each document; nulls, empty texts and repeated rows as at the top."""
     docs = documents(spark, sf_dir)
     model = fit(docs, ~held_out())
     found = predict(docs, model, [F.col("doc_id").cast("long"), held_out()], "doc_id long, held_out boolean")

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,6 +54,79 @@ def test_scores_are_the_mean_of_all_features(monkeypatch):
     assert len(langid.hashed(["abc"])[0]) == 5 + 4 + 3 + 2 + 1 and len(langid.hashed(["½", "a½"])[0]) == len(langid.hashed(["a"])[0])
 
 
+def plain_features(word):
+    """Hashes of a word's n-grams and itself, one at a time in plain integers."""
+    wide, prime = (1 << 64) - 1, int(langid.PRIME)
+
+    def spread(x):
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & wide
+        return x ^ x >> 29
+
+    points = [ord(c) for c in f"<{word}>"]
+    out = []
+    for n in langid.GRAMS:
+        for i in range(len(points) - n + 1):
+            rolled = 0
+            for p in points[i : i + n]:
+                rolled = (rolled * prime + p) & wide
+            out.append(spread((rolled + n) & wide) % langid.HASHES)
+    return [*out, spread(sum(spread((p * prime + i) & wide) for i, p in enumerate(points)) & wide) % langid.HASHES]
+
+
+def test_features_of_whole_texts_against_plain_counting():
+    rng = np.random.default_rng(2)
+    for t in [text("cc", 900, rng), "", "½ 3", "a", "Éa éa ÉA " * 40 + "x-y_z"]:
+        words = ["".join(c for c in w if c.isalpha()) for w in langid.words_of(t)]
+        want = Counter(h for w in words if w for h in plain_features(w))
+        ids, times = langid.bag(t)
+        assert dict(zip(ids.tolist(), times.tolist(), strict=True)) == want
+
+
+def test_training_against_a_slow_twin(monkeypatch):
+    monkeypatch.setattr(langid, "HASHES", 97)
+    monkeypatch.setattr(langid, "BATCH", 5)
+    rng = np.random.default_rng(3)
+    rows = [(lang, *langid.bag(text(lang, 12, rng))) for lang in ("aa", "bb", "cc", "aa") for _ in range(6)]
+    got = langid.train(rows)
+    draw = np.random.default_rng(9)
+    names, n = ["aa", "bb", "cc"], len(rows)
+    embed = draw.uniform(-1 / langid.DIMS, 1 / langid.DIMS, (97, langid.DIMS))
+    weights, bias = np.zeros((langid.DIMS, 3)), np.zeros(3)
+    whole = [np.bincount(ids, times / times.sum(), 97) for _, ids, times in rows]
+    share = Counter(lang for lang, *_ in rows)
+    batches, step = -(-n // 5), 0
+    epochs = -(-langid.STEPS // batches)
+    for _ in range(epochs):
+        for batch in np.array_split(draw.permutation(n), batches):
+            rate = langid.RATE * (1 - step / (epochs * batches))
+            step += 1
+            gw, gb, ge = np.zeros_like(weights), np.zeros(3), np.zeros_like(embed)
+            for i in batch:
+                mean = whole[i] @ embed
+                p = np.exp(mean @ weights + bias)
+                p /= p.sum()
+                error = (p - np.eye(3)[names.index(rows[i][0])]) * n / share[rows[i][0]] / 3 / len(batch)
+                gw += np.outer(mean, error)
+                gb += error
+                ge += np.outer(whole[i], weights @ error) * len(batch)
+            weights, bias, embed = weights - rate * gw, bias - rate * gb, embed - rate * ge
+    assert got.names == names and np.allclose(got.scores, embed @ weights, atol=1e-3) and np.allclose(got.bias, bias, atol=1e-4)
+
+
+def test_sample_is_bounded_with_repeated_rows_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 20)
+    rows = [(7, f"ka lo {'mi ' * (i % 50)}", "aa") for i in range(3000)] + [(i, "der ein", "bb") for i in range(5)] + [(1, "zz", "cc"), (2, "5", "dd"), (None, "null id", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = langid.sample(docs, F.lit(True), "doc_id", "text", "lang")
+    assert Counter(lang for lang, *_ in picked) == {"aa": 20, "bb": 6, "cc": 1}
+    again = langid.sample(docs.repartition(3), F.lit(True), "doc_id", "text", "lang")
+    assert [(a[0], a[1], a[2].tolist()) for a in again] == [(a[0], a[1], a[2].tolist()) for a in picked]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert {lang for lang, *_ in langid.sample(docs, F.lit(True), "doc_id", "text", "lang")} == {"aa", "bb"}
+    # ties of scores go to the first language in order
+    assert langid.Model(["aa", "bb"], np.zeros((langid.HASHES, 2), np.float32), np.zeros(2, np.float32)).predict(["ka"])[0][:2] == ("aa", 0.5)
+
+
 def test_held_out_rows_and_nulls_never_teach(spark):
     docs = spark.createDataFrame([(i, "der ein", "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else None) for i in range(60)], "doc_id long, text string, lang string")
     model = langid.fit(docs, ~langid.held_out())
