@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import documents, map_rows, text_bytes
+from ombra.llm.common import documents, map_rows, text_bytes, written
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -38,14 +38,18 @@ MEDIA = frozenset(("img", "video", "audio", "source"))
 
 
 class Sequence(HTMLParser):
-    """Ordered parts of a page. A figure's media get its caption, wherever in the figure it stands."""
+    """Ordered parts of a page. A figure's media get its caption, wherever in the figure it stands.
+
+    A caption left open ends with its figure, or with the page; the first of two captions counts.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figures: list[list[dict]] = []
+        #: Open figures: their media, and their caption once it is known.
+        self.figures: list[tuple[list[dict], list[str]]] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -54,20 +58,36 @@ class Sequence(HTMLParser):
         if text:
             self.parts.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def captioned(self) -> None:
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.caption = None
+            if text and self.figures:
+                self.figures[-1][1].append(text)
+
+    def closed(self) -> None:
+        """The end of the innermost figure."""
+        self.captioned()
+        media, captions = self.figures.pop()
+        for part in media if captions else ():
+            part["caption"] = captions[0]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SKIPPED:
             self.skip += 1
         if tag in BLOCKS or tag in MEDIA:
             self.flush()
         if tag == "figure":
-            self.figures.append([])
+            self.captioned()
+            self.figures.append(([], []))
         elif tag == "figcaption" and self.figures:
+            self.captioned()
             self.caption = []
         elif tag in MEDIA and (ref := dict(attrs).get("src")):
             part = {"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt") or None}
             self.parts.append(part)
             if self.figures:
-                self.figures[-1].append(part)
+                self.figures[-1][0].append(part)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in SKIPPED:
@@ -76,32 +96,29 @@ class Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for part in self.figures[-1] if self.figures else ():
-                part["caption"] = caption or part["caption"]
-            if self.figures:
-                self.figures[-1].append({"caption": caption, "own": True})
-        elif tag in BLOCKS:
+        if tag == "figcaption":
+            self.captioned()
+        if tag in BLOCKS:
             self.flush()
         if tag == "figure" and self.figures:
-            own = self.figures.pop()
-            caption = next((p["caption"] for p in own if "own" in p), None)
-            for part in own if caption else ():
-                part["caption"] = caption
+            self.closed()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def ended(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.closed()
+        self.flush()
+        return [p | {"position": n} for n, p in enumerate(self.parts)]
+
 
 def parse(html: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [p | {"position": n} for n, p in enumerate(parser.parts)]
+    return parser.ended()
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -198,21 +215,58 @@ def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left").select("id", "position", "caption", "digest", *(c for c in media.columns if c != "digest"))
 
 
-def page_of(title: str, digests: list[str]) -> str:
-    """A page that shows stored media between its paragraphs."""
-    body = "".join(f'<figure><img src="{SCHEME}{d}"><figcaption>payload {n}</figcaption></figure>' for n, d in enumerate(digests))
-    return f"<html><body><p>{escape(title)}</p>{body}</body></html>"
+def interleaved(parts: DataFrame, media: DataFrame) -> DataFrame:
+    """Rows (id, parts, media): ``media`` has the resolved parts in order, structs of (position, caption, digest, and the columns of the store)."""
+    numbered = parts.select(F.monotonically_increasing_id().alias("row"), "id", "parts")
+    numbered, _ = written(numbered, "media")
+    found = resolve(numbered.select(F.col("row").alias("id"), "parts"), media)
+    lists = found.groupBy(F.col("id").alias("row")).agg(F.sort_array(F.collect_list(F.struct(*(c for c in found.columns if c != "id")))).alias("media"))
+    whole = numbered.join(lists, "row", "left")
+    return whole.select("id", "parts", F.coalesce("media", F.array().cast(lists.schema["media"].dataType)).alias("media"))
+
+
+def page_of(text: str, refs: list[tuple[str, str]]) -> str:
+    """A page of all lines of a text as paragraphs, with figures (digest, caption) dealt out between them and the last one at the end."""
+    lines = text.split("\n")
+    figures = [f'<figure><img src="{SCHEME}{d}" alt="none"><figcaption>{escape(c)}</figcaption></figure>' for d, c in refs]
+    step = max(1, len(lines) // max(1, len(figures)))
+    body = [f"<p>{escape(line)}</p>" for line in lines]
+    for n in range(len(figures) - 1, -1, -1):
+        body.insert(len(lines) if n == len(figures) - 1 else min(len(lines), (n + 1) * step), figures[n])
+    return f"<html><body>{''.join(body)}</body></html>"
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    """Each document becomes a page of its title line and its payload; the payload is resolved through the page's parts."""
+    """Each document becomes a page of its whole text with its payload shown twice, in the middle and at the end; one row for each.
+
+    The payload's columns come from the stored form that the references resolve to. ``positions`` and
+    ``captions`` are those of the resolved media, ``n_parts`` counts all parts of the page, and
+    ``texts_sha256`` is of the text parts' digests joined by line ends. Odd rows as at the top.
+    """
     docs = documents(spark, sf_dir)
 
     def rows(ids: list, texts: list) -> Iterable[tuple]:
         for i, data in zip(ids, texts, strict=True):
-            yield i, page_of(data[:80].decode(errors="ignore"), [sha256(data).hexdigest()])
+            digest, size = sha256(data).hexdigest(), len(data)
+            yield i, page_of(data.decode(), [(digest, f"payload of {size} bytes"), (digest, f"end of {i}")])
 
     pages = map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], "page_id long, html string", rows)
-    found = resolve(sequences(pages), features(store(docs)))
+    # written, so that adaptive execution may split the join where a payload has many copies
+    made, _ = written(features(store(docs)), "media")
+    found = interleaved(briefly(sequences(pages)), made)
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return found.select(F.col("id").alias("doc_id"), *names, "position", "caption")
+    resolved = F.filter("media", lambda m: m["n_bytes"].isNotNull())
+    text = F.sha2(F.array_join(F.filter("parts.text", lambda t: t.isNotNull()), "\n").cast("binary"), 256)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(F.get(F.col(f"media.{n}"), F.lit(0)).alias(n) for n in names),
+        F.array_join(F.transform(resolved, lambda m: m["position"].cast("string")), ",").alias("positions"),
+        F.array_join(F.transform(resolved, lambda m: m["caption"]), "|").alias("captions"),
+        F.size("parts").cast("long").alias("n_parts"),
+        text.alias("texts_sha256"),
+    )
+
+
+def briefly(parts: DataFrame) -> DataFrame:
+    """Sequences with digests in place of the texts of their parts, so that texts aren't moved."""
+    return parts.select("id", F.transform("parts", lambda p: p.withField("text", F.sha2(p["text"].cast("binary"), 256))).alias("parts"))

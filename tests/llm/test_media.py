@@ -1,13 +1,15 @@
 import random
+import re
 import zlib
 from hashlib import sha256
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
 from ombra.llm import media
 
-TEXTS = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "<b>&amp; 🌸</b>\n" * 5000, "a"]
+TEXTS = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "<b>&amp; 🌸</b>\n" * 5000, "a", "one\n\n two  words \r\n<p>three</figure>\n</html>", "\n"]
 
 
 def test_query(spark, tmp_path):
@@ -21,7 +23,13 @@ def test_query(spark, tmp_path):
         stored = media.to_png(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), sha256(stored).hexdigest(), media.feature(payload))
-        assert r.caption == "payload 0"
+        parts = [" ".join(x.split()) for x in (t or "").split("\n")]
+        first = max(1, len(parts) // 2)
+        parts = [*parts[:first], None, *parts[first:], None]
+        parts = [x for x in parts if x is None or x]
+        assert (r.n_parts, r.positions) == (len(parts), ",".join(str(n) for n, x in enumerate(parts) if x is None))
+        assert r.captions == f"payload of {len(data)} bytes|end of {i}"
+        assert r.texts_sha256 == sha256("\n".join(sha256(x.encode()).hexdigest() for x in parts if x is not None).encode()).hexdigest()
     assert rows[0].feature == rows[1].feature and rows[2] != rows[3] and rows[2].feature == rows[7].feature
 
 
@@ -42,14 +50,36 @@ def test_parts_keep_order_and_captions():
     parts = [(p["position"], p["kind"], p["text"] or p["ref"], p["caption"]) for p in media.parse(html)]
     assert parts == [(0, "text", "one two", None), (1, "media", "sha256:aa", "cap & more"), (2, "media", "u2", "cap & more"), (3, "text", "three", None), (4, "media", "http://x/y.png", "pic"), (5, "text", "four", None)]
     assert media.parse(None) == media.parse("") == []
+    brief = lambda html: [(p["text"] or p["ref"], p["caption"]) for p in media.parse(html)]
+    assert brief("<figure><img src=a><figcaption>cap</figure><p>rest") == [("a", "cap"), ("rest", None)]
+    assert brief("<figure><img src=a><figcaption>cap <b>all") == [("a", "cap all")]
+    assert brief("<figure><figcaption>out<figure><img src=b><figcaption>in</figcaption></figure><img src=a></figure>x") == [("b", "in"), ("a", "out"), ("x", None)]
+    assert brief("<figure><img src=a alt=z><figcaption></figcaption></figure>") == [("a", "z")]
 
 
 def test_resolving(spark):
-    pages = spark.createDataFrame([(1, media.page_of("t", ["b" * 64, sha256(b"a").hexdigest()])), (2, None), (None, media.page_of("", [sha256(b"a").hexdigest()])), (3, '<img src="x.png">')], "page_id long, html string")
+    known, lost = sha256(b"a").hexdigest(), "b" * 64
+    many = media.page_of("t\nu\nv\nw", [(lost, "first"), (known, "second"), (known, "third & <last>")])
+    pages = spark.createDataFrame([(1, many), (1, many), (2, None), (None, media.page_of("", [(known, "x")])), (3, '<img src="x.png">')], "page_id long, html string")
     docs = spark.createDataFrame([("a",), ("a",)], "text string")
     found = media.resolve(media.sequences(pages), media.features(media.store(docs)))
-    rows = sorted(((r.id or 0, r.position, r.caption, r.n_bytes) for r in found.collect()))
-    assert rows == [(0, 0, "payload 0", 1), (1, 1, "payload 0", None), (1, 2, "payload 1", 1), (3, 0, None, None)]
-    assert media.resolve(media.sequences(pages.limit(0)), media.features(media.store(docs.limit(0)))).count() == 0
+    rows = sorted(((r.id or 0, r.position, r.caption or "", r.n_bytes) for r in found.where("position < 9").collect()), key=str)
+    assert rows == [(0, 0, "x", 1), *[(1, 1, "first", None)] * 2, *[(1, 3, "second", 1)] * 2, *[(1, 6, "third & <last>", 1)] * 2, (3, 0, "", None)]
+    whole = media.interleaved(media.sequences(pages), media.features(media.store(docs))).collect()
+    assert sorted((r.id or 0, len(r.parts), [m.position for m in r.media], [m.caption for m in r.media]) for r in whole if r.id != 3) == [(0, 1, [0], ["x"]), *[(1, 7, [1, 3, 6], ["first", "second", "third & <last>"])] * 2, (2, 0, [], [])]
+    assert all(r.parts[m.position].ref == f"sha256:{m.digest}" and r.parts[m.position].caption == m.caption for r in whole for m in r.media if m.digest)
+    empty = media.features(media.store(docs.limit(0)))
+    assert media.resolve(media.sequences(pages.limit(0)), empty).count() == media.interleaved(media.sequences(pages.limit(0)), empty).count() == 0
     kept = media.store(docs).select(F.col("digest"), "media").dropDuplicates(["digest"])
     assert [media.from_png(bytes(r.media))[:1] for r in media.resolve(media.sequences(pages.where("page_id is null")), kept).collect()] == [b"a"]
+
+
+def test_real_pages_keep_their_text(spark):
+    """All text of real pages is in the sequences, in order; whatever isn't text or media isn't."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html or "" for r in pages.collect()}
+    for r in media.sequences(pages).collect():
+        bare = re.sub(r"(?s)<(script|style).*?</\1>|<!--.*?-->", "", html[r.id])
+        words = unescape(re.sub(r"<[^>]+>", " ", bare)).split()
+        assert "".join(w for p in r.parts for w in p.text.split()) == "".join(words)
+        assert [p.position for p in r.parts] == list(range(len(r.parts)))
