@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ombra.llm.common import components, forget, map_rows, written
+from ombra.llm.common import components, forget, map_rows, spread, written
 
 THRESHOLD = 0.98
 #: Entries of a list, leaves' rows, orders at the start and with each repetition.
@@ -42,6 +42,8 @@ BITS = 32
 ROUNDS, SETTLED = 2, 0.002
 #: Reverse neighbours joined together, and rows of a component compared in one go.
 JOINED, BLOCK = 48, 512
+#: Chunks that a large component is dealt out in, each as often as there are chunks, while none has more rows than ``WIDE``.
+CHUNKS, WIDE = 64, 16384
 #: Vectors of the audit of each kind, most of those without links, and the part of a vector's links to be found.
 AUDIT, AUDIT_MOST, RECALL = 256, 4096, 0.97
 #: Single-precision cosines this close to the threshold are computed again in double precision.
@@ -290,7 +292,9 @@ def enlarged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def counted(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Rows (rep, links): for the members of components (node, component), the vectors linked with each, without its own copies."""
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks"))
+    size = F.count("*")
+    chunks = F.greatest(F.least(F.ceil(size / F.lit(BLOCK)), F.lit(CHUNKS)), F.ceil(size / F.lit(WIDE)))
+    sizes = found.groupBy("component").agg(chunks.cast("int").alias("chunks"))
     members = found.join(sizes, "component").select("component", F.col("node").alias("rep"), "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("c"))
     members = members.join(classes.select("rep", "n", "wide"), "rep")
     dealt = members.select("component", "rep", "n", "wide", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
@@ -300,12 +304,15 @@ def counted(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
         def rows() -> Iterator[tuple]:
             for run in grouped(batches, 3):
                 x, n, c = matrix((r[6] for r in run), np.float64), np.array([r[5] for r in run]), np.array([r[3] for r in run])
-                linked = x @ x.T >= threshold
-                np.fill_diagonal(linked, False)
-                if run[0][1] != run[0][2]:
-                    linked &= c[:, None] != c[None, :]
-                for r, k in zip(run, (linked @ n).tolist(), strict=True):
-                    yield r[4], k
+                apart = run[0][1] != run[0][2]
+                for at in range(0, len(run), BLOCK):
+                    linked = x[at : at + BLOCK] @ x.T >= threshold
+                    own = np.arange(len(linked))
+                    linked[own, own + at] = False
+                    if apart:
+                        linked &= c[at : at + BLOCK, None] != c[None, :]
+                    for r, k in zip(run[at : at + BLOCK], (linked @ n).tolist(), strict=True):
+                        yield r[4], k
 
         yield from batches_of(rows(), [pa.int64(), pa.int64()], ["rep", "links"])
 
@@ -408,7 +415,8 @@ def renewed(graph: DataFrame, path: str | None) -> tuple[DataFrame, str]:
 
 
 def op8_nn_descent(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """One row for each vector; vectors that can't link and repeated rows as at the top."""
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
