@@ -216,13 +216,12 @@ def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def interleaved(parts: DataFrame, media: DataFrame) -> DataFrame:
-    """Rows (id, parts, media): ``media`` has the resolved parts in order, structs of (position, caption, digest, and the columns of the store)."""
-    numbered = parts.select(F.monotonically_increasing_id().alias("row"), "id", "parts")
-    numbered, _ = written(numbered, "media")
-    found = resolve(numbered.select(F.col("row").alias("id"), "parts"), media)
+    """``parts`` (id, parts, and any others) with ``media``: the resolved parts in order, structs of (position, caption, digest, and the columns of the store)."""
+    numbered, _ = written(parts.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("page")), "media")
+    found = resolve(numbered.select(F.col("row").alias("id"), "page.parts"), media)
     lists = found.groupBy(F.col("id").alias("row")).agg(F.sort_array(F.collect_list(F.struct(*(c for c in found.columns if c != "id")))).alias("media"))
     whole = numbered.join(lists, "row", "left")
-    return whole.select("id", "parts", F.coalesce("media", F.array().cast(lists.schema["media"].dataType)).alias("media"))
+    return whole.select("page.*", F.coalesce("media", F.array().cast(lists.schema["media"].dataType)).alias("media"))
 
 
 def page_of(text: str, refs: list[tuple[str, str]]) -> str:
@@ -241,7 +240,7 @@ def op7_media(spark, sf_dir: str) -> DataFrame:
 
     The payload's columns come from the stored form that the references resolve to. ``positions`` and
     ``captions`` are those of the resolved media, ``n_parts`` counts all parts of the page, and
-    ``texts_sha256`` is of the text parts' digests joined by line ends. Odd rows as at the top.
+    ``text_sha256`` is of the text parts joined by line ends. Odd rows as at the top.
     """
     docs = documents(spark, sf_dir)
 
@@ -253,20 +252,17 @@ def op7_media(spark, sf_dir: str) -> DataFrame:
     pages = map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], "page_id long, html string", rows)
     # written, so that adaptive execution may split the join where a payload has many copies
     made, _ = written(features(store(docs)), "media")
-    found = interleaved(briefly(sequences(pages)), made)
+    # what is asked of the text is worked out beside it; only the media parts go on
+    texts = F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: p["text"])
+    pages = sequences(pages).select("id", F.size("parts").cast("long").alias("n_parts"), F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("text_sha256"), F.filter("parts", lambda p: p["kind"] == "media").alias("parts"))
+    found = interleaved(pages, made)
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     resolved = F.filter("media", lambda m: m["n_bytes"].isNotNull())
-    text = F.sha2(F.array_join(F.filter("parts.text", lambda t: t.isNotNull()), "\n").cast("binary"), 256)
     return found.select(
         F.col("id").alias("doc_id"),
         *(F.get(F.col(f"media.{n}"), F.lit(0)).alias(n) for n in names),
         F.array_join(F.transform(resolved, lambda m: m["position"].cast("string")), ",").alias("positions"),
         F.array_join(F.transform(resolved, lambda m: m["caption"]), "|").alias("captions"),
-        F.size("parts").cast("long").alias("n_parts"),
-        text.alias("texts_sha256"),
+        "n_parts",
+        "text_sha256",
     )
-
-
-def briefly(parts: DataFrame) -> DataFrame:
-    """Sequences with digests in place of the texts of their parts, so that texts aren't moved."""
-    return parts.select("id", F.transform("parts", lambda p: p.withField("text", F.sha2(p["text"].cast("binary"), 256))).alias("parts"))

@@ -29,7 +29,7 @@ def test_query(spark, tmp_path):
         parts = [x for x in parts if x is None or x]
         assert (r.n_parts, r.positions) == (len(parts), ",".join(str(n) for n, x in enumerate(parts) if x is None))
         assert r.captions == f"payload of {len(data)} bytes|end of {i}"
-        assert r.texts_sha256 == sha256("\n".join(sha256(x.encode()).hexdigest() for x in parts if x is not None).encode()).hexdigest()
+        assert r.text_sha256 == sha256("\n".join(x for x in parts if x is not None).encode()).hexdigest()
     assert rows[0].feature == rows[1].feature and rows[2] != rows[3] and rows[2].feature == rows[7].feature
 
 
