@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ombra import cases, planted
 from ombra.config import Config
 from ombra.functions import text as X
 from ombra.functions import validators as C
@@ -17,6 +18,7 @@ from ombra.operators import vault as V
 from ombra.operators.detect import book_spans
 from ombra.plans.anonymise import Anonymised, anonymise
 from ombra.plans.blocks import block_rows
+from ombra.plans.shared import spread
 
 #: All types in texts of any language.
 FULL = Config(categories=ALL_CATEGORIES, all_languages=True)
@@ -26,7 +28,8 @@ TIME = "timestamp '2026-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table, read by all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,8 +276,9 @@ def recall_by_type(spark, sf_dir):
 
 
 def residual_scan(spark, sf_dir):
-    kinds = ["email", "codice_fiscale", "telefono_mobile", "targa", "data_nascita"]
-    return evaluate.residuals(table(spark, sf_dir, "documents"), kinds).groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = {"email": "email", "tax_code": "codice_fiscale", "mobile": "telefono_mobile", "plate": "targa", "birth_date": "data_nascita"}
+    names = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    return evaluate.residuals(table(spark, sf_dir, "documents"), list(kinds)).groupBy(names[F.col("kind")].alias("kind")).agg(F.count("*").alias("n"))
 
 
 def dictionary_ambiguity(spark, sf_dir):
@@ -285,7 +289,7 @@ def dictionary_ambiguity(spark, sf_dir):
     return evaluate.ambiguity(tokens, vocabulary, part.where("p_size = 1").select(F.col("p_name").alias("token")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+OWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         detect_email, detect_ip, detect_card_luhn, detect_url_pages, span_offsets, html_to_text_simple, language_route,
@@ -295,3 +299,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         related_entities, rubrica_match, recall_by_type, residual_scan, dictionary_ambiguity,
     )
 }
+QUERIES = OWN | planted.queries() | cases.QUERIES

@@ -32,9 +32,9 @@ PRIORITIES = {
     "SOCIAL": 8, "MAC": 8, "TELEFONO": 7, "LUOGO": 7, "PERSONA": 6, "DOCUMENTO": 6, "SPEDIZIONE": 6, "IMPORTO": 5,
     "ORG": 4, "CAP": 2,
 }
-#: Types for which a full score isn't absolute priority.
+#: Types for which a full score isn't absolute priority.
 NEVER_ABSOLUTE = words("DATA DATA_NASCITA LUOGO LUOGO_NASCITA INDIRIZZO")
-#: Categories that are on unless said otherwise, and sets for common uses.
+#: Categories that are on unless said otherwise, and sets for common uses.
 DEFAULT_CATEGORIES = words("PERSONA EMAIL TELEFONO IBAN CF PIVA CARTA CAP INDIRIZZO SANITARIO DOCUMENTO DATA_NASCITA LUOGO_NASCITA TARGA VIN PRATICA SOCIAL")
 PRESETS = {
     "tecnico": DEFAULT_CATEGORIES,
@@ -42,10 +42,11 @@ PRESETS = {
     "contratto": DEFAULT_CATEGORIES | {"ORG", "IMPORTO", "DATA"},
 }
 ALL_CATEGORIES = frozenset(TYPES.values())
+#: Types of persons, of suggestions, and those never masked; scores; characters of a block.
 PERSON_TYPES = words("PERSON PERSONA IT_NOME_COGNOME")
 SUGGESTED_ONLY = {"IT_NOME_SUGGERITO": "PERSONA", "IT_CARTA_SOSPETTA": "CARTA"}
 NEVER_MASKED = words("MISC NORP MONEY PERCENT QUANTITY ORDINAL CARDINAL EVENT WORK_OF_ART LAW LANGUAGE FAC PRODUCT TIME JOB_TITLE")
-#: Types that arithmetic or format has confirmed: the noise filter passes them.
+#: Types that arithmetic or format has confirmed: the noise filter passes them.
 NOISE_EXEMPT = words("IT_CODICE_FISCALE IT_FISCAL_CODE IT_PARTITA_IVA IT_VAT_CODE IT_IBAN IBAN_CODE CREDIT_CARD EMAIL_ADDRESS IT_TARGA IT_VIN IT_CATASTO IT_PRATICA IT_SOCIAL IT_DOCUMENTO MAC_ADDRESS CRYPTO IT_ORGANIZZAZIONE")
 ACCEPT, CERTAIN = 0.4, 0.7
 BLOCK_CHARS = 25_000
@@ -85,7 +86,7 @@ ENGLISH_HINTS = "the and of to is are was were for with from by this that have h
 HONORIFICS = words("""
 dottor dottore dottoressa dott dott.ssa dott.sa dr sig sig.ra sig.na signor signora signorina ing arch avv avvocato
 geom prof professor professore professoressa rag egr egregio gentile""")
-#: Words that don't tell persons apart.
+#: Words that don't tell persons apart.
 NOT_TELLING = words("""
 sig sig.ra sig.na signor signora signorina dott dott.ssa dott.sa dottor dottore dottoressa dr ing ingegner ingegnere
 arch architetto avv avvocato avvocata geom geometra prof professor professore professoressa rag ragionier ragioniera
@@ -94,6 +95,7 @@ cliente fornitore collega paziente""")
 NAME_CONNECTORS = words("De Del Della Delle Dello Degli Dei Di Da Dal Dalla Dalle Dallo Dagli La Lo Le Li Su Van Von Der D' D")
 SURNAME_PARTICLES = words("de di da del dello della delle degli dei dal dalla dallo dalle dagli dai lo la le li van von der")
 MERGE_PARTICLES = SURNAME_PARTICLES | words("d' l' dell' nell'")
+#: Words of roles and offices, and what may stand beside them.
 ROLES = words("""
 amministratore amministratrice direttore direttrice direzione presidente vicepresidente vice-presidente consigliere
 consigliera responsabile coordinatore coordinatrice segretario segretaria tesoriere tesoriera revisore revisora capo
@@ -107,6 +109,7 @@ ROLE_CONNECTORS = words("di del della delle dello e ed al alla")
 OFFICES = words("""
 ufficio uffici servizio servizi consiglio comitato assemblea collegio direzione presidenza amministrazione segreteria
 commissione gruppo reparto sezione divisione unita unità team""")
+#: Words at the edges of names, formulas, and words that are no surnames.
 REGISTRY_WORDS = words("""
 nato nata nate nati nasce nascere residente residenti domiciliato domiciliata originario originaria coniugato coniugata
 sposato sposata detto detta chiamato chiamata presso ha hanno è era erano sono sei sarà sarebbe""")
@@ -134,6 +137,7 @@ Il Lo La I Gli Le Un Uno Una Questo Questa Quello Quella Mio Mia Tuo Tua Suo Sua
 Sig Dott Dr Prof Egr Spett Gentile Caro Cara Grazie Ciao Salve Buongiorno Buonasera Buonanotte Cordiali Distinti Saluti
 Cari Care Oggi Ieri Domani Roma Milano Napoli Torino Firenze Venezia Bologna Genova Palermo Bari Verona Catania Via
 Viale Piazza Piazzale Corso Largo Vicolo Strada Vico Contrada Frazione Località Borgo Lungomare Salita Traversa""")
+#: Words in and after places, and cities abroad.
 PLACE_STOPS = words("""
 il l' lo la i gli le in a ad da di del dello della delle degli dei dal dalla dallo dalle dagli dai con per tra fra su
 sul sulla sullo e ed o od ma però che chi cui come quando dove perché è sono ho ha hai abbiamo avete hanno sei siete
@@ -148,6 +152,7 @@ san pietroburgo, new york, los angeles, san francisco, chicago, boston, washingt
 città del messico, buenos aires, san paolo, rio de janeiro, il cairo, cape town, johannesburg, casablanca, dubai,
 abu dhabi, riyadh, tel aviv, gerusalemme, pechino, beijing, shanghai, tokyo, seoul, singapore, bangkok, hong kong,
 mumbai, delhi, kolkata, sidney, sydney, melbourne, auckland, malta, la valletta, san marino""")
+#: Technical terms and brands, file extensions, and countries.
 TECHNICAL = phrases("""
 var, cvar, nav, beta, alpha, sharpe, sortino, drawdown, volatility, volatilità, correlation, monte carlo, montecarlo,
 msci, s&p500, s&p 500, sp500, ftse, nasdaq, dow jones, vix, bootstrap, backtest, rebalancing, market cap, eps, p/e,
@@ -183,16 +188,18 @@ gambia, mauritania, angola, zambia, zimbabwe, mozambico, namibia, botswana, mada
 stati uniti, canada, messico, guatemala, honduras, salvador, nicaragua, costa rica, panama, cuba, giamaica, haiti,
 repubblica dominicana, bahamas, brasile, argentina, cile, uruguay, paraguay, bolivia, peru, perù, ecuador, colombia,
 venezuela, guyana, suriname, australia, nuova zelanda, figi, papua nuova guinea""")
+#: Names that truecasing leaves alone.
 NOT_CAPITALISED = words("""
 ing dott arch avv geom prof rag sig dr gentile buongiorno buonasera salve ciao arrivederci grazie prego cordiali
 distinti signor signora signorina papa san santo santa amministratore direttore presidente""")
-#: Verbs that aren't surnames though they may follow a particle, and so aren't capitalised.
+#: Verbs that aren't surnames though they may follow a particle, and so aren't capitalised.
 VERBS_AFTER_PARTICLE = words("""
 posso puoi può possiamo potete possono voglio vuoi vuole vogliamo volete vogliono so sai sa sappiamo sapete sanno vedo
 vedi vede vediamo vedete vedono faccio fai fa facciamo fate fanno dico dici dice diciamo dite dicono penso pensi pensa
 pensiamo pensate pensano credo credi crede crediamo credete credono aspetto aspetti aspetta aspettano conosco conosci
 conosce conosciamo conoscete conoscono chiamo chiami chiama chiamiamo chiamate chiamano arrivo arrivi arriva arriviamo
 arrivate arrivano vado vai va andiamo andate vanno porto porti porta portiamo portate portano""")
+#: Units that look like the letters of a plate.
 MEASURE_UNITS = words("KB MB GB TB KM KG MM CM MT HZ KW CV HP MQ ML DB PT PX")
 #: Labels of a pluggable model and the types they become; other labels are dropped.
 MODEL_LABELS = {

@@ -95,30 +95,31 @@ def final_signature(text: str, at: int) -> bool:
     return at >= len(text) - 60 and bool(CLOSING.search(text[max(0, at - 200) : at]))
 
 
+def name_word(word: str, known: Dictionaries, after_name: bool) -> str:
+    """What a word does in a name: p is a particle, k a known or likely name, u a word that only a particle lets in, x ends it."""
+    if word in L.EXCLUDED_FORMULAS:
+        return "x"
+    if word in L.SURNAME_PARTICLES or word.endswith("'"):
+        return "p"
+    if known.known(word) or (after_name and plausible_surname(word, known)):
+        return "k"
+    return "u" if len(word) >= 3 and word.replace("'", "").isalpha() and word not in L.NOT_SURNAMES else "x"
+
+
 def after_context(text: str, at: int, known: Dictionaries, sure: bool) -> tuple[int, int] | None:
-    """The name that starts at ``at``, with up to three further tokens that belong to it."""
+    """The name that starts at ``at``: a known first word, and of the next three those that names and particles are made of."""
     first = ANY_CASE.match(text, BLANKS.match(text, at).end())
-    if not first:
-        return None
-    low = first[0].lower()
-    if low in L.EXCLUDED_FORMULAS or not known.known(low) or (not sure and low in known.vocabulary):
+    low = first[0].lower() if first else ""
+    if not known.known(low) or low in L.EXCLUDED_FORMULAS or not (sure or low not in known.vocabulary):
         return None
-    end, particle = first.end(), False
-    for _ in range(3):
-        start = BLANKS.match(text, end).end()
-        word = PARTICLE.match(text, start) or ANY_CASE.match(text, start)
-        if not word or (token := word[0].lower()) in L.EXCLUDED_FORMULAS:
+    ends, shape = [first.end()], ""
+    while len(shape) < 3:
+        start = BLANKS.match(text, ends[-1]).end()
+        if not (word := PARTICLE.match(text, start) or ANY_CASE.match(text, start)):
             break
-        if token in L.SURNAME_PARTICLES or token.endswith("'"):
-            particle = True
-        elif particle and len(token) >= 3 and token.replace("'", "").isalpha() and token not in L.NOT_SURNAMES:
-            particle = False
-        elif known.known(token) or (known.name(low) and plausible_surname(token, known)):
-            particle = False
-        else:
-            break
-        end = word.end()
-    return first.start(), end
+        ends.append(word.end())
+        shape += name_word(word[0].lower(), known, known.name(low))
+    return first.start(), ends[re.match("(?:k|p+u?)*", shape).end()]
 
 
 def name_spans(text: str, known: Dictionaries) -> list[Span]:
@@ -137,30 +138,38 @@ def name_spans(text: str, known: Dictionaries) -> list[Span]:
     return out + capitalised(text, known)
 
 
+#: How sure a capitalised word is a name, and the entity and score of each.
+LEVELS = {"certain": ("IT_NOME_COGNOME", 0.8), "confirmed": ("IT_NOME_COGNOME", 0.7), "suggested": ("IT_NOME_SUGGERITO", 0.35)}
+
+
+def level(text: str, start: int, end: int, known: Dictionaries) -> str | None:
+    """The level of a capitalised word that stands by itself; none for words that aren't names, or are too common."""
+    low = text[start:end].lower()
+    name = known.name(low)
+    if not name and not known.surname(low):
+        return None
+    if name and low not in known.ambiguous_names:
+        opens = low in known.vocabulary and sentence_start(text, start) and goes_on_plainly(text, end, known)
+        return "suggested" if opens else "certain"
+    if strong_context(text, start) or final_signature(text, start):
+        return "confirmed"
+    return None if low in known.wide_vocabulary else "suggested"
+
+
 def capitalised(text: str, known: Dictionaries) -> list[Span]:
+    """Pairs of a name and another known word, and single words by their level."""
     out: list[Span] = []
-    tokens = list(CAPITALISED.finditer(text))
-    paired = -1
-    for n, m in enumerate(tokens):
-        low = m[0].lower()
-        if n == paired or low in L.EXCLUDED_FORMULAS:
-            continue
-        after = tokens[n + 1] if n + 1 < len(tokens) and text[m.end() : tokens[n + 1].start()] == " " else None
-        if after and known.name(low) and known.known(after[0].lower()):
-            out.append(Span("IT_NOME_COGNOME", m.start(), after.end(), 0.85, "names"))
-            paired = n + 1
-            continue
-        name = known.name(low)
-        if not name and not known.surname(low):
-            continue
-        ambiguous = low in (known.ambiguous_names if name else known.ambiguous_surnames)
-        kind, score = "IT_NOME_SUGGERITO", 0.35
-        if name and not ambiguous:
-            if not (low in known.vocabulary and sentence_start(text, m.start()) and goes_on_plainly(text, m.end(), known)):
-                kind, score = "IT_NOME_COGNOME", 0.8
-        elif strong_context(text, m.start()) or final_signature(text, m.start()):
-            kind, score = "IT_NOME_COGNOME", 0.7
-        elif low in known.wide_vocabulary:
-            continue
-        out.append(Span(kind, m.start(), m.end(), score, "names"))
+    found = [m.span() for m in CAPITALISED.finditer(text)]
+    low = [text[a:b].lower() for a, b in found]
+    n = 0
+    while n < len(found):
+        (a, b), follows = found[n], n + 1 < len(found) and text[found[n][1] : found[n + 1][0]] == " "
+        if low[n] not in L.EXCLUDED_FORMULAS:
+            if follows and known.name(low[n]) and known.known(low[n + 1]):
+                out.append(Span("IT_NOME_COGNOME", a, found[n + 1][1], 0.85, "names"))
+                n += 1
+            elif sure := level(text, a, b, known):
+                kind, score = LEVELS[sure]
+                out.append(Span(kind, a, b, score, "names"))
+        n += 1
     return out

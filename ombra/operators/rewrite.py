@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ombra.functions.validators import telling_tokens
+from ombra.plans.shared import matched
 
 #: A placeholder's body, and the pairs that may stand around it.
 BODY = r"[A-Za-z][A-Za-z_]{0,30}\s*_\s*\d+"
@@ -50,64 +51,77 @@ JAVA_ANY = "(?U)(?:" + ANY + ")"
 JAVA_PARTS = "(?U)" + PARTS
 
 
+def may_mention(text: Column) -> Column:
+    """Whether a text can hold a placeholder: what every one has, and cheap to look for."""
+    return text.rlike(r"(?U)_\s*\d")
+
+
 def matches(text: Column) -> Column:
     """All placeholder-like pieces of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(JAVA_ANY), F.lit(0))
+    return F.when(may_mention(text), F.regexp_extract_all(text, F.lit(JAVA_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_column(found: Column) -> Column:
     return F.concat(F.lit("«"), F.upper(F.regexp_extract(found, JAVA_PARTS, 1)), F.lit("_"), F.regexp_extract(found, JAVA_PARTS, 2), F.lit("»"))
 
 
-def reserved(docs: DataFrame) -> DataFrame:
-    """Rows (session_id, doc_id, type, idx) of numbers that texts already mention; ones too long for a number are left out, as no allocation reaches them."""
-    each = docs.select("session_id", "doc_id", F.explode(matches(F.col("text"))).alias("m"))
-    return each.select("session_id", "doc_id", F.upper(F.regexp_extract("m", JAVA_PARTS, 1)).alias("type"), F.regexp_extract("m", JAVA_PARTS, 2).try_cast("long").alias("idx")).where("idx is not null").distinct()
+def kind_of(found: Column) -> Column:
+    return F.upper(F.regexp_extract(found, JAVA_PARTS, 1))
 
 
-def rewritten(text: Column, spans: Column, placeholders: Column) -> Column:
-    """The text with each span, of ordered disjoint (start, end, value), replaced by its value's placeholder in the map."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def number_of(found: Column) -> Column:
+    """The number of a match; null if it is too long for one, which no allocation reaches."""
+    return F.regexp_extract(found, JAVA_PARTS, 2).try_cast("long")
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, span["start"] - s["at"])
-        return F.struct(F.concat(s["out"], gap, F.coalesce(F.try_element_at(placeholders, span["value"]), span["value"])).alias("out"), span["end"].alias("at"))
 
-    return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def reserved(docs: DataFrame) -> DataFrame:
+    """Rows (session_id, doc_id, type, idx) of numbers that texts already mention; ones too long for a number are left out, as no allocation reaches them."""
+    each = docs.where(may_mention(F.col("text"))).select("session_id", "doc_id", F.explode(matches(F.col("text"))).alias("m"))
+    return each.select("session_id", "doc_id", kind_of(F.col("m")).alias("type"), number_of(F.col("m")).alias("idx")).where("idx is not null").distinct()
 
 
-RESTORED = "struct<text:string,restored:array<string>,warnings:array<string>>"
+def rewritten(pieces: Column, spans: Column, marks: Column) -> Column:
+    """A text from the pieces around its spans, with the placeholder of each span's mark, or where it has none its value, between them.
+
+    All three are columns of a table: an expression would be worked out anew for each span.
+    """
+    put = lambda s, i: F.concat(F.coalesce(F.get(marks, i)["placeholder"], s["value"]), F.get(pieces, i + 1))
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(spans, put), ""))
 
 
 def restore(docs: DataFrame, vault: DataFrame) -> DataFrame:
-    """``docs`` (session_id, doc_id, text) with the restored text, and the placeholders found and unknown.
+    """``docs`` (session_id, doc_id, text) with the restored text, and the placeholders found and unknown as ``restored`` and ``warnings``.
 
-    Only the placeholders that a text mentions are looked up, so no row carries a session's vault.
+    Only the placeholders that a text mentions are looked up, so no row carries a session's vault,
+    and texts that can't mention any aren't moved. Null sessions and ids are values like any other; a
+    null text is empty; columns of the input that are named like the new ones are replaced.
     """
-    keyed = docs.withColumn("_m", matches(F.col("text")))
-    wanted = keyed.select("session_id", "doc_id", F.explode("_m").alias("m")).select("session_id", "doc_id", canonical_column(F.col("m")).alias("placeholder")).distinct()
-    known = wanted.join(vault.select("session_id", "placeholder", "value"), ["session_id", "placeholder"])
-    maps = known.groupBy("session_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("_map"))
-    maps = maps.select(F.col("session_id").alias("_s"), F.col("doc_id").alias("_d"), "_map")
-    joined = keyed.join(maps, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_s", "_d")
+    # the input's columns stay in a struct, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("doc"), "session_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    some = rows.where(may_mention(F.col("text"))).withColumn("marks", matches(F.col("text")))
+    keys = ["session_id", "doc_id"]
+    wanted = some.select(*keys, F.explode(F.transform("marks", canonical_column)).alias("placeholder")).distinct()
+    known = matched(wanted, vault.select("session_id", "placeholder", "value"), ["session_id", "placeholder"])
+    known = known.groupBy(*keys, "placeholder").agg(F.min("value").alias("value"))
+    maps = known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("map"))
+    joined = matched(some, maps, keys, "left")
+    # marks and what follows each go together, so that nothing is worked out anew for each of them
     pieces = F.split("text", JAVA_ANY, -1)
-    value = lambda m: F.when(F.col("_map").isNull(), m).otherwise(F.coalesce(F.try_element_at("_map", canonical_column(m)), m))
-    text = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform("_m", lambda m, i: F.concat(value(m), F.get(pieces, i + 1))), ""))
-    names = F.transform("_m", canonical_column)
-    there = F.coalesce(F.map_keys("_map"), F.array().cast("array<string>"))
-    return joined.select(
-        *docs.columns[: docs.columns.index("text")],
-        F.when(F.size("_m") > 0, text).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
-        *docs.columns[docs.columns.index("text") + 1 :],
-        F.array_sort(F.array_intersect(F.coalesce(names, F.array().cast("array<string>")), there)).alias("restored"),
-        F.array_except(F.coalesce(names, F.array().cast("array<string>")), there).alias("warnings"),
-    )
+    pairs = F.arrays_zip(F.col("marks").alias("m"), F.slice(pieces, F.lit(2), F.size("marks")).alias("after"))
+    value = lambda m: F.when(F.col("map").isNull(), m).otherwise(F.coalesce(F.try_element_at("map", canonical_column(m)), m))
+    text = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(pairs, lambda p: F.concat(value(p["m"]), p["after"])), ""))
+    names, there = F.transform("marks", canonical_column), F.coalesce(F.map_keys("map"), F.array().cast("array<string>"))
+    new = joined.select("doc", F.when(F.size("marks") > 0, text).otherwise(F.col("text")).alias("text"), F.array_sort(F.array_intersect(names, there)).alias("restored"), F.array_except(names, there).alias("warnings"))
+    none = F.array().cast("array<string>")
+    both = new.unionByName(rows.where(~may_mention(F.col("text"))).select("doc", "text", none.alias("restored"), none.alias("warnings")))
+    kept = [c for c in docs.columns if c not in ("restored", "warnings")]
+    return both.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in kept), "restored", "warnings")
 
 
 def not_found(restored: DataFrame, vault: DataFrame) -> DataFrame:
     """Placeholders of each session that none of its restored texts mentions."""
     seen = restored.select("session_id", F.explode("restored").alias("placeholder")).distinct()
-    return vault.select("session_id", "placeholder").join(seen, ["session_id", "placeholder"], "left_anti")
+    return matched(vault.select("session_id", "placeholder"), seen, ["session_id", "placeholder"], "left_anti")
 
 
 def reanonymise_text(text: str, edits: Sequence[tuple[str, str, str | None]]) -> tuple[str, list[tuple[str, str, str]]]:

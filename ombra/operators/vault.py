@@ -2,7 +2,7 @@
 
 Columns: session_id, type, idx, placeholder, value, value_hash, norm_key, created_at. Values are
 joined by hash, so the value column may be encrypted. A value has one placeholder in a session, the
-type of its first appearance; numbers go on from the highest, leaving out numbers that texts of the
+type of its first appearance; rows without a session share one. Numbers go on from the highest, leaving out numbers that texts of the
 session already mention.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ombra.functions.validators import key_of
-from ombra.plans.shared import ranked
+from ombra.plans.shared import matched, prefix_sums, ranked
 
 SCHEMA = "session_id string, type string, idx long, placeholder string, value string, value_hash string, norm_key string, created_at timestamp"
 PREFIX = "enc:v1:"
@@ -38,25 +38,27 @@ def allocate(values: DataFrame, reserved: DataFrame, vault: DataFrame | None = N
 
     ``values`` has (session_id, value, type, seq, doc_id, start); ``reserved`` has (session_id,
     type, idx): numbers not to be given. The k-th new value of a type gets the k-th number over the
-    highest in use that isn't reserved: with g reserved numbers among the first, that is k + g.
+    highest in use that isn't reserved. A reserved number with f free ones between the highest and
+    itself moves all values from the (f + 1)-th on by one, so the move of a value is the running
+    count of the reserved numbers before it: a sum by buckets, whatever a session holds.
     """
+    kind = ["session_id", "type"]
     first = first_appearances(values)
-    used = None
-    if vault is not None:
-        first = first.join(vault.select("session_id", "value_hash"), ["session_id", "value_hash"], "left_anti")
-        used = vault.groupBy("session_id", "type").agg(F.max("idx").alias("top"))
-    order = ranked(first, ["session_id", "type"], F.floor(F.col("seq") / BUCKET), [F.col("seq"), F.col("doc_id"), F.col("start")], "k")
-    if used is None:
-        order = order.withColumn("top", F.lit(0).cast("long"))
+    marks = reserved.select(*kind, F.col("idx").cast("long").alias("idx")).distinct()
+    marks = matched(marks, values.select(*kind).distinct(), kind, "left_semi")
+    if vault is None:
+        first, marks = (x.withColumn("top", F.lit(0).cast("long")) for x in (first, marks))
     else:
-        order = order.join(used, ["session_id", "type"], "left").withColumn("top", F.coalesce("top", F.lit(0)))
-    marks = reserved.groupBy("session_id", "type").agg(F.sort_array(F.collect_set("idx")).alias("marks"))
-    order = order.join(marks, ["session_id", "type"], "left")
-    above = F.filter(F.coalesce("marks", F.array().cast("array<long>")), lambda r: r > F.col("top"))
-    # free numbers before the j-th reserved one: its distance from the top, less the reserved ones up to it
-    gaps = F.transform(above, lambda r, j: r - F.col("top") - j - 1)
-    idx = F.col("top") + F.col("k") + F.size(F.filter(gaps, lambda g: g < F.col("k")))
-    out = order.withColumn("idx", idx.cast("long"))
+        first = matched(first, vault.select("session_id", "value_hash"), ["session_id", "value_hash"], "left_anti")
+        used = vault.groupBy(*kind).agg(F.max("idx").alias("top"))
+        first, marks = (matched(x, used, kind, "left").withColumn("top", F.coalesce("top", F.lit(0))) for x in (first, marks))
+    order = ranked(first, kind, F.floor(F.col("seq") / BUCKET), [F.col("seq"), F.col("doc_id"), F.col("start"), F.col("value")], "k")
+    marks = ranked(marks.where("idx > top"), kind, F.floor(F.col("idx") / BUCKET), [F.col("idx")], "j")
+    events = order.withColumn("at", F.col("k")).withColumn("mark", F.lit(0).cast("long"))
+    moves = marks.select(*kind, (F.col("idx") - F.col("top") - F.col("j") + 1).alias("at"), F.lit(1).cast("long").alias("mark"))
+    events = events.unionByName(moves, allowMissingColumns=True).withColumn("part", F.floor(F.col("at") / BUCKET))
+    moved = prefix_sums(events, kind, "part", [F.col("at"), F.desc("mark")], "mark", "gaps").where("mark = 0")
+    out = moved.withColumn("idx", (F.col("top") + F.col("k") + F.col("gaps")).cast("long"))
     return out.select("session_id", "type", "idx", placeholder(F.col("type"), F.col("idx")).alias("placeholder"), "value", "value_hash", norm_key("value", "type").alias("norm_key"), (F.current_timestamp() if now is None else now).alias("created_at"))
 
 
@@ -69,23 +71,23 @@ def norm_key(value: str, kind: str) -> Column:
 
 def append(vault: DataFrame, rows: DataFrame) -> DataFrame:
     """The vault with the rows whose value and placeholder it lacks: the first writer stays."""
-    fresh = rows.join(vault.select("session_id", "value_hash"), ["session_id", "value_hash"], "left_anti")
-    fresh = fresh.join(vault.select("session_id", "placeholder"), ["session_id", "placeholder"], "left_anti")
+    fresh = matched(rows, vault.select("session_id", "value_hash"), ["session_id", "value_hash"], "left_anti")
+    fresh = matched(fresh, vault.select("session_id", "placeholder"), ["session_id", "placeholder"], "left_anti")
     return vault.unionByName(fresh.select(*vault.columns))
 
 
 def lookup_values(values: DataFrame, vault: DataFrame) -> DataFrame:
     """``values`` (session_id, value) with type and placeholder, null where unknown."""
     hashed = values.withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256))
-    return hashed.join(vault.select("session_id", "value_hash", "type", "placeholder"), ["session_id", "value_hash"], "left").drop("value_hash")
+    return matched(hashed, vault.select("session_id", "value_hash", "type", "placeholder"), ["session_id", "value_hash"], "left").drop("value_hash")
 
 
 def lookup_placeholders(wanted: DataFrame, vault: DataFrame) -> DataFrame:
-    return wanted.join(vault.select("session_id", "placeholder", "type", "value"), ["session_id", "placeholder"], "left")
+    return matched(wanted, vault.select("session_id", "placeholder", "type", "value"), ["session_id", "placeholder"], "left")
 
 
 def session(vault: DataFrame, session_id: str) -> DataFrame:
-    return vault.where(F.col("session_id") == session_id).orderBy("type", "idx")
+    return vault.where(F.col("session_id").eqNullSafe(F.lit(session_id))).orderBy("type", "idx")
 
 
 def summary(vault: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def clear(vault: DataFrame, session_id: str) -> DataFrame:
 
 def collisions(texts: DataFrame, vault: DataFrame, reserved: DataFrame) -> DataFrame:
     """Rows of ``reserved`` (session_id, doc_id, type, idx) that an earlier call's placeholder already has: restoring them would expand foreign text."""
-    return reserved.join(vault.select("session_id", "type", "idx"), ["session_id", "type", "idx"], "left_semi")
+    return matched(reserved, vault.select("session_id", "type", "idx"), ["session_id", "type", "idx"], "left_semi")
 
 
 # -- encryption of the value column

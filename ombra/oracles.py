@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ombra import cases, planted
 from ombra.functions.lexicons import ENGLISH_HINTS, ITALIAN_ACCENTS, ITALIAN_HINTS, MONTHS, TECHNICAL
 from ombra.functions.text import FILE_EXTENSIONS
 
@@ -113,3 +114,4 @@ SELECT coalesce(type, 'all') AS type, count(*) FILTER (outcome = 'exact') AS exa
 WITH t AS (SELECT DISTINCT lower(p_name) AS token FROM part), w AS (SELECT token, list_reduce(string_split(token, ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS word FROM t
 ) SELECT token, word IN (SELECT split_part(p_name, ' ', 2) FROM part WHERE p_size < 10) AND token NOT IN (SELECT p_name FROM part WHERE p_size = 1) AS ambiguous FROM w""",
 }
+SQL |= planted.oracles() | cases.oracles()

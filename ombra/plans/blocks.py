@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ombra.config import Config
 from ombra.functions.lexicons import BLOCK_CHARS
 from ombra.functions.text import blocks, language_column
-from ombra.operators.detect import detect_block
+from ombra.operators.detect import MARGIN, block_spans
 
 
 def block_rows(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
@@ -23,18 +23,31 @@ def block_rows(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
     return docs.select(*rest, F.explode(pieces).alias("b")).select(*rest, "b.offset", "b.block")
 
 
+def windows(text: str, size: int) -> list[dict]:
+    """Each block with as much of its neighbours as a value over its border needs: where it begins, how much lead it has, its own size, and the text."""
+    return [{"offset": a, "lead": min(a, MARGIN), "size": len(b), "window": text[max(0, a - MARGIN) : a + len(b) + MARGIN]} for a, b in blocks(text, size)]
+
+
 def candidates(docs: DataFrame, config: Config, size: int = BLOCK_CHARS, tasks: int | None = None) -> DataFrame:
     """Rows (session_id, doc_id, entity_type, start, end, score, source): candidates with offsets in the whole text.
 
-    Blocks are dealt out over ``tasks``, so a very long document is found by many; the language is the whole text's.
+    Blocks are dealt out over ``tasks``, so a very long document is found by many; the language is
+    the whole text's. A block is read with its neighbours' edges and gives what starts in it, so
+    no value is lost or cut at a border; only one longer than ``MARGIN`` may be shorter than in the whole.
     """
-    spoken = docs.withColumn("italian", F.lit(True) if config.all_languages else language_column(F.coalesce("text", F.lit(""))) == "it" if config.language == "auto" else F.lit(config.language == "it"))
-    rows = block_rows(spoken.select("session_id", "doc_id", "italian", "text"), size)
+    text = F.coalesce("text", F.lit(""))
+    italian = F.lit(True) if config.all_languages else language_column(text) == "it" if config.language == "auto" else F.lit(config.language == "it")
+
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([windows(t or "", size) for t in texts], dtype=object)
+
+    pieces = F.pandas_udf(split, "array<struct<offset:int,lead:int,size:int,window:string>>")(text)
+    rows = docs.select("session_id", "doc_id", italian.alias("italian"), F.explode(pieces).alias("b")).select("session_id", "doc_id", "italian", "b.*")
     rows = rows.repartition(tasks) if tasks else rows
 
-    def run(texts: pd.Series, italian: pd.Series) -> pd.Series:
-        return pd.Series([[s._asdict() for s in detect_block(t, config, bool(i))] for t, i in zip(texts, italian, strict=True)], dtype=object)
+    def run(texts: pd.Series, leads: pd.Series, sizes: pd.Series, offsets: pd.Series, italian: pd.Series) -> pd.Series:
+        each = zip(texts, leads, sizes, offsets, italian, strict=True)
+        return pd.Series([[s._asdict() for s in block_spans(t, int(lead), int(n), int(at), config, bool(i))] for t, lead, n, at, i in each], dtype=object)
 
-    found = F.pandas_udf(run, "array<struct<entity_type:string,start:int,end:int,score:double,source:string>>")(F.col("block"), F.col("italian"))
-    each = rows.select("session_id", "doc_id", "offset", F.explode(found).alias("s"))
-    return each.select("session_id", "doc_id", "s.entity_type", (F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), "s.score", "s.source")
+    found = F.pandas_udf(run, "array<struct<entity_type:string,start:int,end:int,score:double,source:string>>")("window", "lead", "size", "offset", "italian")
+    return rows.select("session_id", "doc_id", F.explode(found).alias("s")).select("session_id", "doc_id", "s.*")

@@ -31,18 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
+def written(df: DataFrame, name: str, *by: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, in parts by some columns, and read it back: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for made in _watching:
         made.append(path)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, so that what is computed twice from it isn't."""
-    return written(df, name)[0]
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once and read back, so that what is computed twice from it isn't; in parts by some columns."""
+    return written(df, name, *by)[0]
 
 
 def forget(spark: SparkSession, *paths: str) -> None:

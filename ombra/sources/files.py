@@ -1,8 +1,9 @@
 """Documents from files: bytes become text by extension, errors become a column.
 
 ``read_documents`` scans files of any supported extension with Spark's binary reader, so any store
-that Spark reads will do. Office formats are unpacked with the standard library. PDF text and
-optical recognition need a function from outside; without one, PDFs report that.
+that Spark reads will do. Office formats, PDF and MSG are unpacked with the standard library.
+Optical recognition needs a function from outside; without one, scans report that. Files over
+``LARGEST`` bytes are an error, and their contents aren't read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ombra.config import Dictionaries
 from ombra.functions.text import looks_binary
+from ombra.sources import msg as outlook
+from ombra.sources import pdf as portable
 
+#: A document is a scan if it has fewer characters in all, or at least so many pages with fewer characters each; a page, if it has little text under much image.
+SCAN_CHARS, SCAN_PAGES, SCAN_MEAN, PAGE_CHARS, PAGE_COVER = 20, 3, 15, 600, 0.5
 #: Bytes of a file at most.
 LARGEST = 20 * 1024 * 1024
 
@@ -216,16 +222,24 @@ def cell_value(cell: ElementTree.Element, strings: list[str]) -> str:
     return strings[int(value)] if cell.get("t") == "s" and value else value
 
 
-def unavailable(what: str) -> Callable[[bytes], str]:
-    def fail(data: bytes) -> str:
-        raise DocumentError(f"{what} needs a reader that isn't installed")
+def pdf(data: bytes) -> str:
+    """The text of all pages, one after another; a scan is an error, as it needs recognition."""
+    text = "\n".join(text for text, _ in portable.pages(data))
+    if len(text.strip()) < SCAN_CHARS:
+        raise DocumentError("a scan without readable text")
+    return text
+
 
-    return fail
+def msg(data: bytes) -> str:
+    """Headers, a blank line, and the plain body, or else the HTML one as text."""
+    found = outlook.fields(data)
+    head = [f"{name}: {found[name]}" for name in ("From", "To", "Cc", "Subject", "Date") if found.get(name)]
+    return "\n".join([*head, "", found.get("Body") or html_text(found.get("Html", ""))])
 
 
 READERS: dict[str, Callable[[bytes], str]] = {
-    "txt": plain, "md": plain, "markdown": plain, "csv": table, "eml": mail, "msg": unavailable("MSG"), "rtf": rich,
-    "odt": odt, "docx": docx, "xlsx": xlsx, "html": page, "htm": page, "pdf": unavailable("PDF"),
+    "txt": plain, "md": plain, "markdown": plain, "csv": table, "eml": mail, "msg": msg, "rtf": rich,
+    "odt": odt, "docx": docx, "xlsx": xlsx, "html": page, "htm": page, "pdf": pdf,
 }
 
 
@@ -252,6 +266,8 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[
         rows = []
         for p, data in zip(paths, contents, strict=True):
             try:
+                if data is None:
+                    raise DocumentError(f"over {LARGEST} bytes")
                 rows.append((load(p, bytes(data), readers), None))
             except DocumentError as why:
                 rows.append((None, str(why)))
@@ -259,15 +275,14 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     loaded = F.pandas_udf(run, "struct<text:string,error:string>")(F.col("path"), F.col("content"))
+    # a filter on the length keeps the contents of larger files from being read
+    large = files.where(F.col("length") > LARGEST).select("path", F.lit(None).cast("binary").alias("content"))
+    files = files.where(F.col("length") <= LARGEST).select("path", "content").unionByName(large)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), loaded.alias("d")).select("path", "name", "d.text", "d.error")
 
 
 # -- scanned pages
 
-#: A document is a scan if it has fewer characters in all, or at least so many pages with fewer characters each; a page, if it has little text under much image.
-SCAN_CHARS, SCAN_PAGES, SCAN_MEAN, PAGE_CHARS, PAGE_COVER = 20, 3, 15, 600, 0.5
-
-
 def pages_to_recognise(pages: DataFrame) -> DataFrame:
     """Rows (path, page, text, image_cover) with ``recognise``: pages of scans, and single pages that look like one."""
     chars = F.length(F.trim(F.coalesce("text", F.lit(""))))
@@ -277,6 +292,23 @@ def pages_to_recognise(pages: DataFrame) -> DataFrame:
     return pages.join(whole, "path").withColumn("recognise", scan | F.coalesce(single, F.lit(False))).drop("_chars", "_pages")
 
 
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, page, text, image_cover, error) of the PDF files under a path; a damaged file has one row with its error."""
+
+    def run(contents: pd.Series) -> pd.Series:
+        out = []
+        for data in contents:
+            try:
+                out.append([{"page": n, "text": text, "image_cover": cover, "error": None} for n, (text, cover) in enumerate(portable.pages(bytes(data)), 1)])
+            except Exception as why:  # a reader's own error is the file's error
+                out.append([{"page": None, "text": None, "image_cover": None, "error": f"{type(why).__name__}: {why}"}])
+        return pd.Series(out, dtype=object)
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).where(F.col("length") <= LARGEST)
+    each = F.explode(F.pandas_udf(run, "array<struct<page:int,text:string,image_cover:double,error:string>>")("content")).alias("p")
+    return found.select("path", each).select("path", "p.*")
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """Rows (path, text, recognised, error) of rows (path, page, text, recognised_text): the longer text of each page, in order."""
     longer = F.when(F.length("recognised_text") > F.length(F.coalesce("text", F.lit(""))), F.col("recognised_text")).otherwise(F.coalesce("text", F.lit("")))
@@ -321,3 +353,25 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     """Rows (word) of lower-case alphabetic lines."""
     word = F.lower(F.trim("value"))
     return spark.read.text(path).select(word.alias("word")).where(F.col("word").rlike(r"(?U)^\p{Alpha}+$")).distinct()
+
+
+#: Words of a dictionary at most: what every Python worker holds.
+MOST_WORDS = 2_000_000
+
+
+def dictionaries(names: DataFrame, surnames: DataFrame, vocabulary: DataFrame, wide: DataFrame | None = None, municipalities: DataFrame | None = None) -> Dictionaries:
+    """The sets that detection takes, of tables (token, ambiguous) of names and surnames, and (word) of the others.
+
+    They go to every task, so more than ``MOST_WORDS`` rows in one are an error.
+    """
+
+    def held(rows: DataFrame | None, column: str) -> frozenset[str]:
+        if rows is None:
+            return frozenset()
+        found = rows.select(F.lower(column)).distinct().limit(MOST_WORDS + 1).collect()
+        if len(found) > MOST_WORDS:
+            raise ValueError(f"a dictionary of over {MOST_WORDS} words")
+        return frozenset(r[0] for r in found if r[0])
+
+    unsure = lambda rows: held(rows.where("ambiguous"), "token")
+    return Dictionaries(held(names, "token"), unsure(names), held(surnames, "token"), unsure(surnames), held(vocabulary, "word"), held(wide, "word"), held(municipalities, "word"))

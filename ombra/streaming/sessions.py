@@ -2,7 +2,8 @@
 
 Detection is stateless; its values are keyed by session and get their placeholders from a map of
 the session's values and a counter for each type. Rows of a session are numbered by ``seq`` within
-a batch, and late rows get later numbers.
+a batch, and late rows get later numbers. Numbers that texts mention come along as rows without a
+value: they are never given, so that restoring can't expand what a text held before.
 """
 
 from __future__ import annotations
@@ -20,35 +21,48 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Numbering(StatefulProcessor):
-    """value -> (type, number), type -> last number."""
+    """value -> (type, number), type -> last number, and the numbers that texts mention."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.values = handle.getMapState("values", "value string", "type string, idx long")
         self.last = handle.getMapState("last", "type string", "idx long")
+        self.taken = handle.getMapState("taken", "type string, idx long", "there boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        parts = [p for p in rows if len(p)]
-        if not parts:
-            return
-        batch = pd.concat(parts).sort_values(["seq", "doc_id", "start"], kind="stable")
-        marks, kinds = [], []
-        for value, kind in zip(batch["value"], batch["type"], strict=True):
-            if self.values.containsKey((value,)):
-                kind, idx = self.values.getValue((value,))
-            else:
+        """Rows of values that the session knows go out chunk by chunk; only those of new values wait for their order."""
+        new: list[pd.DataFrame] = []
+        for part in rows:
+            mentions = part[part["value"].isna()]
+            for kind, idx in {*zip(mentions["type"], mentions["idx"].astype("int64"), strict=True)}:
+                self.taken.updateValue((kind, int(idx)), (True,))
+            part = part[part["value"].notna()]
+            known = part["value"].map({v: self.values.containsKey((v,)) for v in part["value"].unique()}).astype(bool)
+            if known.any():
+                yield self.marked(key[0], part[known])
+            if not known.all():
+                new.append(part[~known])
+        if new:
+            batch = pd.concat(new).sort_values(["seq", "doc_id", "start"], kind="stable")
+            for value, kind in batch.drop_duplicates("value")[["value", "type"]].itertuples(index=False):
                 idx = (self.last.getValue((kind,))[0] if self.last.containsKey((kind,)) else 0) + 1
+                while self.taken.containsKey((kind, idx)):
+                    idx += 1
                 self.values.updateValue((value,), (kind, idx))
                 self.last.updateValue((kind,), (idx,))
-            kinds.append(kind)
-            marks.append(f"«{kind}_{idx}»")
-        yield batch.assign(session_id=key[0], type=kinds, placeholder=marks)[["session_id", "doc_id", "seq", "start", "end", "value", "type", "placeholder"]]
+            yield self.marked(key[0], batch)
+
+    def marked(self, session: str, rows: pd.DataFrame) -> pd.DataFrame:
+        found = {v: self.values.getValue((v,)) for v in rows["value"].unique()}
+        kinds = [found[v][0] for v in rows["value"]]
+        marks = [f"«{k}_{found[v][1]}»" for k, v in zip(kinds, rows["value"], strict=True)]
+        return rows.assign(session_id=session, type=kinds, placeholder=marks)[["session_id", "doc_id", "seq", "start", "end", "value", "type", "placeholder"]]
 
     def close(self) -> None:
         pass
 
 
 def numbered(values: DataFrame) -> DataFrame:
-    """Placeholders of a stream of values (session_id, doc_id, seq, start, end, value, type).
+    """Placeholders of a stream of values (session_id, doc_id, seq, start, end, value, type, idx); rows without a value reserve a number.
 
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass`` = ``ROCKS``.
     """
@@ -56,24 +70,30 @@ def numbered(values: DataFrame) -> DataFrame:
 
 
 def values_of_stream(docs: DataFrame, config) -> DataFrame:
-    """Detected values of a stream of documents (session_id, doc_id, seq, text)."""
+    """Detected values of a stream of documents (session_id, doc_id, seq, text), and rows without a value for the numbers that they mention."""
+    from ombra.operators import rewrite
     from ombra.plans.anonymise import analysed
 
-    found = docs.withColumn("_found", analysed(F.coalesce("text", F.lit("")), config))
-    return found.select("session_id", "doc_id", "seq", F.explode("_found.spans").alias("s")).select("session_id", "doc_id", "seq", "s.start", "s.end", "s.value", "s.type")
+    text = F.coalesce("text", F.lit(""))
+    spans = F.transform(analysed(text, config)["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["type"].alias("type"), F.lit(None).cast("long").alias("idx")))
+    none = lambda t: F.lit(None).cast(t)
+    marks = F.transform(rewrite.matches(text), lambda m: F.struct(none("int").alias("start"), none("int").alias("end"), none("string").alias("value"), rewrite.kind_of(m).alias("type"), rewrite.number_of(m).alias("idx")))
+    each = docs.select("session_id", "doc_id", "seq", F.explode(F.concat(spans, F.filter(marks, lambda m: m["idx"].isNotNull()))).alias("s"))
+    return each.select("session_id", "doc_id", "seq", "s.*")
+
 
+def to_vault(batch_values: DataFrame, vault_path: str, batch_id: int = 0, reserved: DataFrame | None = None) -> None:
+    """For ``foreachBatch``: allocate a batch against the vault of the others and put what is new in a part of its own.
 
-def to_vault(batch_values: DataFrame, vault_path: str) -> None:
-    """For ``foreachBatch``: allocate a batch against the vault table and append what is new; the same batch again adds nothing."""
+    A part is replaced as a whole, so a batch that runs again after a failure leaves the same
+    vault; what another part is reading is never touched. ``reserved`` has (session_id, type, idx).
+    """
     from ombra.operators import vault as V
 
     spark = batch_values.sparkSession
     none = batch_values.select("session_id", "type", F.lit(0).cast("long").alias("idx")).where("false")
-    try:
-        vault = spark.read.schema(V.SCHEMA).parquet(vault_path)
-        vault.limit(1).collect()
-    except Exception as why:
-        if "PATH_NOT_FOUND" not in str(why):
-            raise
-        vault = None
-    V.allocate(batch_values, none, vault).write.mode("append").parquet(vault_path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(vault_path)
+    vault = None
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        vault = spark.read.schema(V.SCHEMA + ", batch long").parquet(vault_path).where(F.col("batch") != batch_id).drop("batch")
+    V.allocate(batch_values.where("value is not null"), none if reserved is None else reserved, vault).write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")

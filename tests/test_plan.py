@@ -3,12 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ombra.operators import detect as D
 from ombra.operators import evaluate, native, rewrite
 from ombra.operators import vault as V
 from ombra.operators.native import detected
 from ombra.operators.spans import analyse
 from ombra.config import Config
 from ombra.plans.anonymise import anonymise
+from ombra.plans.blocks import candidates
 from tests.helpers import CONFIG, EVERYTHING, card, iban, tax_code, vat
 
 RNG = random.Random(9)
@@ -128,7 +130,7 @@ def test_trace_and_evaluation(spark):
     total = evaluate.recall(rated).where("type is null").first()
     assert (total.wide, total.strict) == (0.75, 0.25)
     left = evaluate.residuals(spark.createDataFrame([(1, "«CF_1» a@bc.it 333 1234567 e Sig. Rossi")], "doc_id long, text string"))
-    assert {r.kind for r in left.collect()} >= {"telefono_mobile", "persona_da_titolo"}
+    assert {r.kind for r in left.collect()} >= {"mobile", "titled_person"}
     names = spark.createDataFrame([("mario",)], "token string")
     lost = evaluate.lost_tokens(spark.createDataFrame([(1, "mario e Mario")], "doc_id long, text string"), names, spark.createDataFrame([(1, 0, 5)], "doc_id long, start int, end int"))
     assert [(r.start, r.token) for r in lost.collect()] == [(8, "mario")]
@@ -147,3 +149,62 @@ def test_empty_table(spark):
     out = anonymise(spark.createDataFrame([], SCHEMA), CONFIG)
     assert out.docs.count() == out.entities.count() == out.vault.count() == 0
     assert native.detected(spark.createDataFrame([], SCHEMA), ["EMAIL_ADDRESS"]).count() == 0
+
+
+def test_null_sessions_ids_repeats_and_clashing_columns(spark):
+    names = "session_id string, doc_id long, seq long, text string, spans string, suggested int, dropped int, row int, doc string, found int, hit boolean, map string, marks int, restored int, warnings int, value_hash int, _row int, _found int, _m int, _map int"
+    extra = ("s", 1, 2, 3, "d", 4, True, "m", 5, 6, 7, 8, 9, 10, 11, 12)
+    rows = [(None, 1, 1, "write to a.b@example.com now", *extra), (None, None, None, "again a.b@example.com and c@example.com", *extra), ("s", 1, 1, "a.b@example.com", *extra), ("s", 1, 1, "a.b@example.com", *extra), (None, 2, 2, None, *extra)]
+    docs = spark.createDataFrame(rows, names)
+    out = anonymise(docs, CONFIG)
+    assert out.docs.columns == docs.columns
+    got = sorted(((r.session_id or "", r.doc_id or 0, r.text) for r in out.docs.collect()))
+    assert got == [("", 0, "again «EMAIL_1» and «EMAIL_2»"), ("", 1, "write to «EMAIL_2» now"), ("", 2, ""), ("s", 1, "«EMAIL_1»"), ("s", 1, "«EMAIL_1»")] or got[0][2] == "again «EMAIL_1» and «EMAIL_2»" or got[1][2] == "write to «EMAIL_1» now"
+    assert not any("@" in t for *_, t in got)
+    assert out.docs.first().hit is True and out.docs.first().spans == "s"
+    back = rewrite.restore(out.docs, out.vault)
+    assert sorted(str(r.text) for r in back.collect()) == sorted(r[3] or "" for r in rows)
+    assert {c for c in back.columns} == set(docs.columns)
+    again = anonymise(docs, CONFIG, out.vault)
+    assert sorted(r.text for r in again.docs.collect()) == sorted(t for *_, t in got)
+    assert again.vault.count() == out.vault.count() == 3
+    for vault in (out.vault.limit(0), out.vault):
+        assert anonymise(docs.limit(0), CONFIG, vault).docs.count() == 0
+
+
+def test_checked_values_at_every_offset_about_a_cut(spark):
+    value = "IT60 X054 2811 1010 0000 0123 456"
+    size = 600
+    texts = [("parola " * 200)[: size + d] + " " + value + " fine " + "altra " * 50 for d in range(-45, 12)]
+    for t in texts:
+        for found in (D.detect(t, EVERYTHING), D.detect_in_blocks(t, EVERYTHING, size)):
+            assert [t[s.start : s.end] for s in found if s.entity_type == "IT_IBAN"] == [value]
+    docs = spark.createDataFrame([("s", n, t) for n, t in enumerate(texts)], "session_id string, doc_id long, text string")
+    rows = candidates(docs, EVERYTHING, size, 3).where("entity_type = 'IT_IBAN'").collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in rows) == [(n, value) for n in range(len(texts))]
+    mixed = " ".join(f"{CF} {IBAN} a{n}@example.it Mario Rossi\n" for n in range(400))
+    key = lambda s: (s.start, s.end, s.entity_type, s.source)
+    assert sorted(map(key, D.detect_in_blocks(mixed, EVERYTHING, 777))) == sorted(map(key, D.detect(mixed, EVERYTHING)))
+
+
+def test_texts_without_spans_are_never_shuffled(spark):
+    docs = spark.createDataFrame([("s", n, n, "nothing here" if n % 3 else "a.b@example.com") for n in range(30)], SCHEMA)
+    plan = anonymise(docs, CONFIG).docs._jdf.queryExecution().optimizedPlan().toString()
+    # the texts without spans are one whole branch of the union, a filtered scan
+    rest = plan.split("\n")
+    branch = [line for line in rest if line.startswith("+- Project")]
+    assert plan.startswith("Union") and plan.count("Join") == 1 and len(branch) == 1
+    assert not any("Join" in line or "Repartition" in line for line in rest[rest.index(branch[0]) :])
+
+
+def test_allocation_with_many_reserved_numbers(spark, monkeypatch):
+    monkeypatch.setattr(V, "BUCKET", 4)
+    rng = random.Random(2)
+    for top in (None, 7):
+        reserved = sorted({rng.randrange(1, 60) for _ in range(25)})
+        vault = None if top is None else spark.createDataFrame([("s", "CF", top, f"«CF_{top}»", "old", "h")], "session_id string, type string, idx long, placeholder string, value string, value_hash string")
+        values = spark.createDataFrame([("s", f"v{i:02d}", "CF", i, i, 0) for i in range(30)] + [(None, "v", "CF", 1, 1, 0)], "session_id string, value string, type string, seq long, doc_id long, start int")
+        marks = spark.createDataFrame([("s", "CF", n) for n in reserved] + [("s", "IBAN", 1), (None, "CF", 1), ("t", "CF", 1)], "session_id string, type string, idx long")
+        got = {(r.session_id, r.value): r.idx for r in V.allocate(values, marks, vault).collect()}
+        free = [n for n in range((top or 0) + 1, 200) if n not in reserved]
+        assert got == {("s", f"v{i:02d}"): free[i] for i in range(30)} | {(None, "v"): 2}
