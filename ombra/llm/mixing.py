@@ -115,8 +115,8 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Rows (id, source, size, mix_key, begin, source_size, target, position, taken, first_slot, n_uses), one for each row of ``docs``.
 
-    ``first_slot`` is the first slot whose block holds words of the document, null if nothing of it
-    is taken; ``n_uses`` counts the uses: once for each slot and pass over the source that takes words.
+    ``first_slot`` is the first slot whose block holds words of the document, -1 if nothing of it is
+    taken; ``n_uses`` counts the uses: once for each slot and pass over the source that takes words.
     """
     return mixture(docs, source, id_col, text_col, block)[0]
 
@@ -155,7 +155,7 @@ def mixture(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: s
     whole = placed.drop("row").join(found, ["position", "mix_key", "begin", "size"], "left")
     when = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
     names = ("id", "source", "size", "mix_key", "begin", "source_size", "target", "position")
-    return whole.select(*names, when("used").alias("taken"), F.when(F.col("size") > 0, F.col("first_slot")).alias("first_slot"), when("uses").alias("n_uses")), slots
+    return whole.select(*names, when("used").alias("taken"), F.when(F.col("size") > 0, F.coalesce("first_slot", F.lit(-1))).otherwise(F.lit(-1)).cast("long").alias("first_slot"), when("uses").alias("n_uses")), slots
 
 
 def mixed(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -239,7 +239,7 @@ WITH d AS (
 SELECT p.doc_id, p.size, g.source_size, CAST(g.target AS DOUBLE) AS target,
        CAST(CASE WHEN p.size = 0 THEN 0 ELSE p.size * (goal // g.source_size)
          + least(goal % g.source_size, p.b + p.size) - least(goal % g.source_size, p.b) END AS BIGINT) AS taken,
-       CAST(v.first_slot AS BIGINT) AS first_slot, CAST(coalesce(v.n_uses, 0) AS BIGINT) AS n_uses
+       CAST(coalesce(v.first_slot, -1) AS BIGINT) AS first_slot, CAST(coalesce(v.n_uses, 0) AS BIGINT) AS n_uses
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 LEFT JOIN v ON p.source IS NOT DISTINCT FROM v.source AND p.k = v.k AND p.size = v.size AND p.b = v.b
 """
