@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 from dataclasses import replace
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ombra.config import Config
+from ombra.engine import Engine, RequestError
 from ombra.functions import text as X
 from ombra.functions import validators as C
 from ombra.functions.lexicons import ALL_CATEGORIES
@@ -21,9 +23,10 @@ from ombra.operators import spans as S
 from ombra.operators import vault as V
 from ombra.plans.anonymise import Anonymised, anonymise
 from ombra.plans.blocks import candidates
-from ombra.plans.shared import spread
-from ombra.planted import EVERYTHING, WORDS, quoted
+from ombra.plans.shared import shared_dir, spread
+from ombra.planted import EVERYTHING, ONLY_DEFAULT, WORDS, quoted
 from ombra.sources import files
+from ombra.streaming import sessions
 
 TIME = "timestamp '2026-01-01 00:00:00'"
 IBAN = "IT60X0542811101000000123456"
@@ -393,6 +396,104 @@ def ocr_readings(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", *(c.alias(n) for n, c in evaluate.ocr_confusions(value).items()))
 
 
+def page_texts(spark, sf_dir):
+    """The text nodes of real pages."""
+    texts = F.pandas_udf(lambda pages: pd.Series([files.html_text(h or "") for h in pages], dtype=object), "string")
+    return table(spark, sf_dir, "pages").select("page_id", texts("html").alias("text"))
+
+
+PAGE_SQL = r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>|<!--.*?-->|<!doctype[^>]*>', '<x>', 'g'), '(<[^>]+>)+', chr(10), 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text
+FROM pages
+"""
+
+
+def stream_numbering(spark, sf_dir):
+    """Customers' names numbered as a stream, by keyed state."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = spark.readStream.schema(customer.schema).parquet(f"{sf_dir}/custome[r].parquet")
+    none = lambda t: F.lit(None).cast(t)
+    values = rows.select(F.col("c_nationkey").cast("string").alias("session_id"), F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("seq"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.col("c_name").alias("value"), F.col("c_mktsegment").alias("type"), none("long").alias("idx"))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.conf.set(key, sessions.ROCKS)
+    try:
+        sessions.numbered(values).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.parquet(f"{at}/out").select("session_id", "type", "value", "placeholder")
+
+
+def service_verbs(spark, sf_dir):
+    """The verbs of the service, one after another on a vault, a book and settings of their own."""
+    engine = Engine(spark, f"{shared_dir(spark)}/service-{uuid.uuid4().hex}", ONLY_DEFAULT)
+    out: list[tuple[str, str]] = []
+    say = lambda verb, what: out.append((verb, str(what)))
+
+    def refused(verb: str, call: Callable[[], object]) -> None:
+        try:
+            call()
+            say(verb, "accepted")
+        except RequestError:
+            say(verb, "refused")
+
+    say("import", engine.import_book("testo;tipo\nFalco;progetto\n;vuoto\n".encode()))
+    first = engine.anonymise("Il sig. Mario Rossi per il progetto Falco scrive da a.b@example.it", "s1")
+    say("anonymise", first["text"])
+    say("entities", ",".join(f"{e['placeholder']}={e['value']}" for e in first["entities"]))
+    say("again", engine.anonymise("a.b@example.it e c.d@example.it", "s1")["text"])
+    say("restore", engine.restore("Gentile **persona_1**, vedi [EMAIL_2] e «EMAIL_9».", "s1"))
+    say("edited", engine.reanonymise("Mario Rossi paga", "s2", [{"value": "Mario", "type": "nome"}])["text"])
+    say("sessions", sorted((r["session_id"], r["entries"]) for r in engine.sessions()))
+    say("session", [r["value"] for r in engine.session("s2")])
+    engine.delete_session("s2")
+    say("deleted", sorted(r["session_id"] for r in engine.sessions()))
+    engine.set_categories({"email"})
+    say("settings", engine.settings())
+    say("fewer", engine.anonymise("Targa AB123CD di a.b@example.it", "s3")["text"])
+    engine.remove_terms(["Falco"])
+    say("book", engine.book().count())
+    refused("blank", lambda: engine.anonymise("  ", "s1"))
+    refused("language", lambda: engine.anonymise("x", "s1", language="fr"))
+    refused("category", lambda: engine.set_categories({"NIENTE"}))
+    refused("no session", lambda: engine.restore("x", ""))
+    return spark.createDataFrame([(n, verb, what) for n, (verb, what) in enumerate(out)], "n int, verb string, result string")
+
+
+VERBS = [
+    ("import", "{'added': 1, 'rejected': 1}"),
+    ("anonymise", "Il sig. «PERSONA_1» per il progetto «PROGETTO_1» scrive da «EMAIL_1»"),
+    ("entities", "«EMAIL_1»=a.b@example.it,«PERSONA_1»=Mario Rossi,«PROGETTO_1»=Falco"),
+    ("again", "«EMAIL_1» e «EMAIL_2»"),
+    ("restore", "{'text': 'Gentile Mario Rossi, vedi c.d@example.it e «EMAIL_9».', 'restored': ['«EMAIL_2»', '«PERSONA_1»'], 'not_found': ['«EMAIL_1»', '«PROGETTO_1»'], 'warnings': ['«EMAIL_9»']}"),
+    ("edited", "«NOME_1» Rossi paga"),
+    ("sessions", "[('s1', 4), ('s2', 1)]"),
+    ("session", "['Mario']"),
+    ("deleted", "['s1']"),
+    ("settings", "{'categories': ['EMAIL']}"),
+    ("fewer", "Targa AB123CD di «EMAIL_1»"),
+    ("book", "0"),
+    ("blank", "refused"),
+    ("language", "refused"),
+    ("category", "refused"),
+    ("no session", "refused"),
+]
+
+
+def dictionary_loaders(spark, sf_dir):
+    """Dictionaries and word lists as files, read, and as the sets that detection takes."""
+    at = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    spark.createDataFrame([("# nomi",), ("Mario\t0",), ("Rosa\t1",), (" Luisa ",), ("",)], "value string").coalesce(1).write.text(f"{at}/names")
+    spark.createDataFrame([("Casa",), ("x1",), ("è",), ("casa",)], "value string").coalesce(1).write.text(f"{at}/words")
+    tokens, words = files.read_dictionary(spark, f"{at}/names"), files.read_words(spark, f"{at}/words")
+    known = files.dictionaries(tokens, tokens.limit(0), words)
+    rows = [(kind, w) for kind, held in (("name", known.names), ("ambiguous", known.ambiguous_names), ("surname", known.surnames), ("word", known.vocabulary)) for w in sorted(held)]
+    return spark.createDataFrame(rows, "kind string, word string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "functions_on_values": cases,
     **{
@@ -401,7 +502,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             anonymised_letters, letter_entities, letter_vault, letter_trace, restored_letters, letters_without_a_session, decorated_answers,
             block_candidates, read_files, scanned_pages, imported_book, vault_by_placeholder, vault_session, vault_cleared, vault_latest,
             vault_migrated, book_edits, collisions, residuals_all, verdict_table, leak_table, ablation, dictionary_files,
-            municipality_words, lost_names, input_matrix, ocr_readings,
+            municipality_words, lost_names, input_matrix, ocr_readings, page_texts, stream_numbering,
+            service_verbs, dictionary_loaders,
         )
     },
 }
@@ -460,4 +562,8 @@ def oracles() -> dict[str, str]:
         "ocr_readings": """
             WITH v AS (SELECT s_suppkey, 'OI5B rnl' || CAST(s_suppkey AS VARCHAR) AS v FROM supplier)
             SELECT s_suppkey, translate(v, 'OoIlSBZ', '0011582') AS digits, translate(v, '01582', 'OISBZ') AS letters, replace(v, 'rn', 'm') AS rn FROM v""",
+        "page_texts": PAGE_SQL,
+        "stream_numbering": f"SELECT session_id, type, value, placeholder FROM ({MARKED})",
+        "service_verbs": values_sql(["n", "verb", "result"], [(n, verb, what) for n, (verb, what) in enumerate(VERBS)]),
+        "dictionary_loaders": values_sql(["kind", "word"], [("name", "luisa"), ("name", "mario"), ("name", "rosa"), ("ambiguous", "rosa"), ("word", "casa"), ("word", "è")]),
     }

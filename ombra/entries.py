@@ -170,7 +170,7 @@ def roundtrip_identity(spark, sf_dir):
 def guarantee_violations(spark, sf_dir):
     """How often each guarantee is broken: leaks of checked values, unequal placeholders, spans over line ends, unlisted or wrong substitutions."""
     done = anonymised(spark, sf_dir)
-    left = native.detected(done.docs, ["EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS"]).agg(F.sum(F.size("spans")).alias("leaks"))
+    left = native.detected(done.docs, list(native.PATTERNS)).agg(F.sum(F.size("spans")).alias("leaks"))
     twice = done.vault.groupBy("session_id", "value").agg(F.count_distinct("placeholder").alias("n")).where("n > 1").agg(F.count("*").alias("two_placeholders"))
     shared = done.vault.groupBy("session_id", "placeholder").agg(F.count_distinct("value").alias("n")).where("n > 1").agg(F.count("*").alias("shared_placeholders"))
     lines = done.entities.where(F.col("value").rlike("[\n\r]")).agg(F.count("*").alias("over_lines"))
@@ -264,15 +264,23 @@ def rubrica_match(spark, sf_dir):
 # -- evaluation
 
 
-def recall_by_type(spark, sf_dir):
+def rated_spans(spark, sf_dir) -> DataFrame:
     """Spans made from line items, found with shifts and wrong types."""
     item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 100).alias("start"), F.col("l_returnflag").alias("type"), "l_partkey", "l_linestatus", "l_discount")
     truth = item.select("doc_id", "start", (F.col("start") + 10).alias("end"), "type")
     shift = (F.col("l_partkey") % 4) * 5
     kind = F.when(F.col("l_partkey") % 7 == 0, F.col("l_linestatus")).otherwise(F.col("type"))
     guess = item.where("l_discount < 0.085").select("doc_id", (F.col("start") + shift).alias("start"), (F.col("start") + shift + 10).alias("end"), kind.alias("type"))
-    rated = evaluate.recall(evaluate.outcomes(truth, guess))
-    return rated.select(F.coalesce("type", F.lit("all")).alias("type"), "exact", "wrong_type", "partial", "missing", "spurious")
+    return evaluate.recall(evaluate.outcomes(truth, guess))
+
+
+def recall_by_type(spark, sf_dir):
+    return rated_spans(spark, sf_dir).select(F.coalesce("type", F.lit("all")).alias("type"), "exact", "wrong_type", "partial", "missing", "spurious")
+
+
+def recall_rates(spark, sf_dir):
+    """Wide and strict recall, where there are true spans."""
+    return rated_spans(spark, sf_dir).where("wide is not null").select(F.coalesce("type", F.lit("all")).alias("type"), F.round("wide", 6).alias("wide"), F.round("strict", 6).alias("strict"))
 
 
 def residual_scan(spark, sf_dir):
@@ -296,7 +304,7 @@ OWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lowercase_ratio, binary_ratio, block_split_lossless, noise_filter, date_keys, check_digits, overlap_resolution,
         allocate_placeholders, reserved_numbers, entity_table, anonymise_docs, roundtrip_identity, guarantee_violations,
         reanonymise_edits, session_summary, vault_lookup, vault_second_call, vault_encrypted_lookup, vault_upsert_latest,
-        related_entities, rubrica_match, recall_by_type, residual_scan, dictionary_ambiguity,
+        related_entities, rubrica_match, recall_by_type, recall_rates, residual_scan, dictionary_ambiguity,
     )
 }
 QUERIES = OWN | planted.queries() | cases.QUERIES

@@ -114,4 +114,7 @@ SELECT coalesce(type, 'all') AS type, count(*) FILTER (outcome = 'exact') AS exa
 WITH t AS (SELECT DISTINCT lower(p_name) AS token FROM part), w AS (SELECT token, list_reduce(string_split(token, ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS word FROM t
 ) SELECT token, word IN (SELECT split_part(p_name, ' ', 2) FROM part WHERE p_size < 10) AND token NOT IN (SELECT p_name FROM part WHERE p_size = 1) AS ambiguous FROM w""",
 }
+SQL["recall_rates"] = f"""
+SELECT type, round((exact + wrong_type + partial) / (exact + wrong_type + partial + missing), 6) AS wide, round(exact / (exact + wrong_type + partial + missing), 6) AS strict
+FROM ({SQL["recall_by_type"]}) WHERE exact + wrong_type + partial + missing > 0"""
 SQL |= planted.oracles() | cases.oracles()
