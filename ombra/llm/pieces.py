@@ -38,8 +38,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def rows(keys: list, texts: list) -> Iterable[tuple]:
         model = piece.load(path)
-        for key, text in zip(keys, texts, strict=True):
-            found = model.encode(text)
+        for key, text, found in zip(keys, texts, model.encode_all(texts), strict=True):
             tail = [model.end] if add_end else []
             stop = [len(text.encode())] * len(tail)
             yield key, found.ids + tail, found.begins.tolist() + stop, found.ends.tolist() + stop
@@ -65,10 +64,9 @@ def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def rows(keys: list, texts: list) -> Iterable[tuple]:
         model = piece.load(path)
-        for key, text in zip(keys, texts, strict=True):
-            found = model.encode(text)
+        for key, text, found in zip(keys, texts, model.encode_all(texts), strict=True):
             ids = [*found.ids, model.end]
-            line = " ".join([model.text[i] for i in ids])
+            line = " ".join(map(model.text.__getitem__, ids))
             yield key, len(ids), sha256(line.encode()).hexdigest(), sha256(model.decode(ids).encode()).hexdigest(), sha256(np.concatenate((found.begins, found.ends)).astype("<i8", copy=False)).hexdigest()
 
     return map_rows(docs, [F.col(id_col).cast("long"), text_or_empty(text_col)], "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", rows)
@@ -80,8 +78,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def rows(keys: list, texts: list) -> Iterable[tuple]:
         model = piece.load(path)
-        for key, text in zip(keys, texts, strict=True):
-            found = model.encode(text)
+        for key, text, found in zip(keys, texts, model.encode_all(texts), strict=True):
             ids = np.array([*found.ids, model.end], "<u2")
             begins, ends = (np.append(x, len(text.encode())).astype("<u4").tobytes() for x in (found.begins, found.ends))
             yield key, len(ids), ids.tobytes(), begins, ends

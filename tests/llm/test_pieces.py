@@ -102,3 +102,21 @@ def test_round_trip_and_empty(spark):
     encoded = pieces.encode_documents(docs)
     assert {r.id: r.text for r in pieces.decode_documents(encoded).collect()} == {1: "héllo  wörld 🌸", None: "x", 2: ""}
     assert pieces.encode_documents(docs.limit(0)).count() == token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_words_merged_side_by_side_are_those_of_the_heap(monkeypatch):
+    model, rng = piece.Pieces(PATH), random.Random(9)
+    monkeypatch.setattr(piece, "TOGETHER", 500)
+    monkeypatch.setattr(piece, "TABLE", 700)
+    real = {w for t in texts() for w in model.cut.findall(model.marked(t))}
+    made = {"".join(rng.choice("▁aeiouthnrsñ漢🌸0.,!́") for _ in range(rng.randrange(1, 30))) for _ in range(3000)}
+    words = real | made
+    found = model.learned(words)
+    alone = piece.Pieces(PATH)
+    assert found.keys() == words
+    for w in words:
+        assert found[w] == alone.word(w), w
+    many = [t * (1 + n % 3) for n, t in enumerate(texts()[:300])]
+    monkeypatch.setattr(piece, "GATHERED", 4000)
+    for one, t in zip(model.encode_all(many), many, strict=True):
+        assert one.ids == LIB.encode(t)
