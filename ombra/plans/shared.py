@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
@@ -36,7 +39,13 @@ def written(df: DataFrame, name: str, *by: str, **options: str) -> tuple[DataFra
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for made in _watching:
         made.append(path)
-    df.write.options(**options).partitionBy(*by).parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, None)
+    # once the table is there, nothing reads what was shuffled for it
+    conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).partitionBy(*by).parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ombra.config import Dictionaries
 from ombra.functions.text import looks_binary
+from ombra.plans.shared import written
 from ombra.sources import msg as outlook
 from ombra.sources import pdf as portable
 
@@ -309,6 +310,33 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", each).select("path", "p.*")
 
 
+def recognised(spark: SparkSession, pages: DataFrame, path: str, reader: Callable[[bytes, int], str]) -> DataFrame:
+    """Rows of ``pages_to_recognise`` with ``recognised_text``: what a reader makes of a file's page, where it is asked; its failure gives an empty text."""
+
+    def run(contents: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for data, n in zip(contents, numbers, strict=True):
+            try:
+                out.append(reader(bytes(data), int(n)))
+            except Exception:  # the other pages are still of use
+                out.append("")
+        return pd.Series(out, dtype=object)
+
+    asked = pages.where("recognise").select("path", "page")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= LARGEST).select("path", "content")
+    texts = asked.join(found, "path").select("path", "page", F.pandas_udf(run, "string")("content", "page").alias("recognised_text"))
+    return pages.join(texts, ["path", "page"], "left")
+
+
+def read_pdfs(spark: SparkSession, path: str, reader: Callable[[bytes, int], str] | None = None) -> DataFrame:
+    """Rows (path, text, recognised, error) of the PDF files under a path; scans, and pages that look like one, go through the reader, if there is one."""
+    found, _ = written(pdf_pages(spark, path), "pages")
+    asked = pages_to_recognise(found.where("error is null").drop("error"))
+    read = recognised(spark, asked, path, reader) if reader else asked.withColumn("recognised_text", F.lit(None).cast("string"))
+    bad = found.where("error is not null").select("path", F.lit(None).cast("string").alias("text"), F.array().cast("array<int>").alias("recognised"), "error")
+    return joined_pages(read).unionByName(bad)
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """Rows (path, text, recognised, error) of rows (path, page, text, recognised_text): the longer text of each page, in order."""
     longer = F.when(F.length("recognised_text") > F.length(F.coalesce("text", F.lit(""))), F.col("recognised_text")).otherwise(F.coalesce("text", F.lit("")))

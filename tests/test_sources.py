@@ -152,6 +152,24 @@ def test_pdf_files_as_pages(spark, tmp_path):
     assert [r.path[-5:] for r in rows if r.error] == ["c.pdf"]
 
 
+def test_scans_go_through_a_reader(spark, tmp_path):
+    blank = dict(PDF_OBJECTS) | {12: stream(b"q 100 0 0 200 0 0 cm /I Do Q"), 4: stream(b"q Q"), 10: stream(b"q Q")}
+    (tmp_path / "scan.pdf").write_bytes(pdf_file(blank))
+    (tmp_path / "text.pdf").write_bytes(pdf_file(PDF_OBJECTS))
+    (tmp_path / "bad.pdf").write_bytes(b"broken")
+
+    def reader(data, page):
+        if page == 2:
+            raise RuntimeError("unreadable")
+        return f"pagina {page} riletta di {len(data) > 100}"
+
+    rows = {r.path.rpartition("/")[2]: r for r in files.read_pdfs(spark, str(tmp_path), reader).collect()}
+    assert (rows["scan.pdf"].text, rows["scan.pdf"].recognised) == ("pagina 1 riletta di True\n", [1])
+    assert rows["text.pdf"].text.startswith("HaABC") and rows["text.pdf"].recognised == [] and rows["bad.pdf"].error
+    plain = {r.path.rpartition("/")[2]: r.error for r in files.read_pdfs(spark, str(tmp_path)).collect()}
+    assert plain["scan.pdf"] and plain["bad.pdf"] and plain["text.pdf"] is None
+
+
 def compound(streams):
     """A compound file with its streams in whole sectors and no short ones."""
     names = list(streams)
