@@ -14,8 +14,8 @@ records, crc32, payload), so that any store can hold them and a lost task is sim
 
 Numbers follow a stable order of the documents, by a hash of id and text, then id, then ids: the
 same documents get the same slots however the input is split or ordered. The hash's first bits name
-a bucket; documents are numbered within buckets, and a table of one row for each bucket has what
-comes before it, so no task sorts more than a bucket.
+a bucket; documents are numbered within buckets, and a table of one row for each bucket (at most
+2**``BUCKET``) has what comes before it, so no task orders more than a bucket.
 
 Defined results: a null or empty text is one sequence with the end id only; equal rows are
 sequences of their own, and share their slots; a null id is flagged; other columns of the input are ignored; an empty
@@ -111,25 +111,43 @@ def unpacked(data: bytes) -> bytes:
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (key, id, n, ids): a document's hash, its number of sequences, and its ids, packed."""
+    """Rows (bucket, key, id, n, ids): a document's hash and its first bits, its number of sequences, and its ids, packed."""
     path = path or public_tokenizers.path(RANKS)
 
-    def rows(keys: list, ids: list, texts: list) -> Iterable[tuple]:
-        for key, i, text in zip(keys, ids, texts, strict=True):
+    def rows(buckets: list, keys: list, ids: list, texts: list) -> Iterable[tuple]:
+        for bucket, key, i, text in zip(buckets, keys, ids, texts, strict=True):
             blob = token_ids(text, path).tobytes()
-            yield key, i, -(-len(blob) // (2 * LENGTH)), packed(blob)
+            yield bucket, key, i, -(-len(blob) // (2 * LENGTH)), packed(blob)
 
     own = F.col(id_col).cast("long")
-    columns = [F.xxhash64(F.lit("order"), own, F.coalesce(F.col(text_col), F.lit(""))), own, text_or_empty(text_col)]
-    return map_rows(docs, columns, "key long, id long, n long, ids binary", rows)
+    key = F.xxhash64(F.lit("order"), own, F.coalesce(F.col(text_col), F.lit("")))
+    columns = [F.shiftrightunsigned(key, 64 - BUCKET).cast("int"), key, own, text_or_empty(text_col)]
+    return map_rows(docs, columns, "bucket int, key long, id long, n long, ids binary", rows)
+
+
+def before_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, before, id, n, ids) of rows (bucket, key, id, n, ids) in order: ``before`` counts the sequences before each in its bucket."""
+    last, carried = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets, ns = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        sums = np.cumsum(ns)
+        starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] - 1))
+        # what is summed up to the start of each row's bucket in this batch; the first may go on from the batch before
+        base = np.repeat(np.concatenate(([0], sums))[starts], np.diff(np.append(starts, len(ns))))
+        before = sums - ns - base
+        if buckets[0] == last:
+            before[: starts[1] if len(starts) > 1 else None] += carried
+        last, carried = buckets[-1], int(before[-1] + ns[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.int64()), *batch.columns[2:]], names=["bucket", "before", "id", "n", "ids"])
 
 
 def numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
     """Rows (id, ids, number), the number being that of a document's first sequence, and the number of sequences."""
-    bucket = F.shiftrightunsigned("key", 64 - BUCKET).cast("int")
-    order = W.partitionBy("bucket").orderBy("key", "id", "ids").rowsBetween(W.unboundedPreceding, W.currentRow)
-    held = tokens.withColumn("bucket", bucket).withColumn("before", F.sum("n").over(order) - F.col("n"))
-    held, _ = written(held.drop("key"), "shards", compression="none")
+    order = ["bucket", "key", "id", "ids"]
+    held = tokens.repartition("bucket").sortWithinPartitions(*order).mapInArrow(before_in_bucket, "bucket int, before long, id long, n long, ids binary")
+    held, _ = written(held, "shards", compression="none")
     sizes = held.groupBy("bucket").agg(F.sum("n").alias("n"))
     # a row for each bucket: 2**BUCKET at most, which bounds the window and the broadcast
     base = sizes.select("bucket", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).alias("base"))
@@ -142,13 +160,15 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sequences, total = numbered(tokenised(docs, id_col, text_col, path))
 
     def records(ids: list, blobs: list, numbers: list) -> Iterable[tuple]:
-        for i, blob, number in zip(ids, blobs, numbers, strict=True):
-            blob = unpacked(blob)
-            cuts = range(0, len(blob), 2 * LENGTH)
-            slots = feistel(np.arange(number, number + len(cuts)), total, key).tolist()
-            for n, (at, slot) in enumerate(zip(cuts, slots, strict=True)):
-                part = blob[at : at + 2 * LENGTH]
-                yield slot // shard, slot, struct.pack(HEAD, i or 0, n, len(part) // 2, i is None) + packed(part)
+        blobs = [unpacked(b) for b in blobs]
+        counts = [-(-len(b) // (2 * LENGTH)) for b in blobs]
+        # the numbers of all these documents' sequences, permuted at once
+        own = np.arange(sum(counts)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
+        slots = iter(feistel(np.repeat(np.array(numbers, np.int64), counts) + own, total, key).tolist())
+        for i, blob, count in zip(ids, blobs, counts, strict=True):
+            for n in range(count):
+                part, slot = blob[2 * LENGTH * n : 2 * LENGTH * (n + 1)], next(slots)
+                yield slot // shard, slot, struct.pack(HEAD, i or 0, n, len(part) // 2, i is None) + part
 
     rows = map_rows(sequences, ["id", "ids", "number"], "shard long, slot long, record binary", records)
     shards = -(-total // shard)
@@ -171,7 +191,6 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if held:
                         yield done()
                     now, held, first = own, [], slot
-                record = record[:HEAD_SIZE] + unpacked(record[HEAD_SIZE:])
                 held.append(record + fill[: STRIDE - len(record)])
         if held:
             yield done()

@@ -2,6 +2,7 @@ import zlib
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,17 @@ def test_texts_longer_than_a_shard_and_more_shards_than_tasks(spark, monkeypatch
     assert b"".join(p for _, p in parts) == shards.token_ids("long words " * 20000, PATH).tobytes()
 
 
+def test_running_counts_cross_batches():
+    rng = np.random.default_rng(1)
+    buckets = np.sort(rng.integers(-3, 9, 300)).astype(np.int32)
+    ns = rng.integers(1, 5, 300)
+    whole = pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ns), pa.array(ns), pa.array(ns), pa.array([b"x"] * 300)], names=["bucket", "key", "id", "n", "ids"])
+    for step in (1, 7, 64, 300):
+        got = [r for b in shards.before_in_bucket(whole.slice(at, step) for at in range(0, 300, step)) for r in b.to_pylist()]
+        assert [r["before"] for r in got] == [int(ns[:i][buckets[:i] == b].sum()) for i, b in enumerate(buckets)]
+    assert list(shards.before_in_bucket(iter([whole.slice(0, 0)]))) == []
+
+
 def slow_slots(total, key):
     """The permutation one number at a time, in plain integers."""
     half = max(1, (max(1, total - 1).bit_length() + 1) // 2)
