@@ -6,10 +6,10 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ombra.llm import langid, mixing, pieces, secrets
+from ombra.llm import langid, mixing, pieces, secrets, simhash
 from tests.llm.test_langid import text
 from tests.llm.test_mixing import slow as slow_mix
-from tests.llm.test_simhash import slow_components, slow_print
+from tests.llm.test_simhash import slow_linked, slow_print
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
 
@@ -29,7 +29,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     model = langid.fit(docs, ~langid.held_out())
     left = [r for r, (*_, gone) in zip(rows, model.predict([r[1] for r in rows]), strict=True) if not gone]
     assert {301, 302, 303}.isdisjoint({r[0] for r in left}) and len(left) >= 100
-    groups = slow_components([(r[0], slow_print(r[1])) for r in left])
+    prints = [(r[0], [int.from_bytes(x, "big") for x in simhash.fingerprint(r[1].encode(), 5, prints=corpus_pipeline.PRINTS)]) for r in left]
+    assert all(p[0] == slow_print(r[1], 5) for r, (_, p) in zip(left, prints, strict=True))
+    groups = slow_linked(prints)
     left = [r for r in left if groups[r[0]] == r[0]]
     owners = {}
     for i, t, _, s, _ in left:
