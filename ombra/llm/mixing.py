@@ -31,6 +31,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Words of a block.
 BLOCK = 512
+#: Slots of a partition of taken documents, where there are more partitions than four for each core.
+RUN = 1 << 15
 #: Slots of a chunk in which they are ranked together.
 CHUNK = 1 << 16
 SEED = "mix-1"
@@ -161,9 +163,12 @@ def mixture(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: s
 def mixed(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, to the nearest whole time, in the order of the schedule.
 
-    A use stands where the slot that holds its first word stands; rows are range-partitioned and sorted by slot.
+    A use stands where the slot that holds its first word stands; a partition has a run of slots, sorted.
     """
     found, slots = mixture(docs, source, id_col, text_col, block)
+    last = slots.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0]
+    # slots are as long as one another, so equal runs of them are ranges that need no sample
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-(last + 1) // RUN))
     times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
     uses = found.where("size > 0").select("mix_key", "size", "begin", "source_size", "position", times.alias("times")).where("times > 0")
     uses = uses.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn"))
@@ -174,7 +179,8 @@ def mixed(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(mix_key(id_col).alias("mix_key"), size_of(F.col(text_col)).alias("size"), F.struct("*").alias("doc"))
     rows = rows.select("*", (F.row_number().over(each.orderBy(F.xxhash64("doc"))) - 1).alias("n"), F.count(F.lit(1)).over(each).alias("rows"))
     met = rows.join(uses, ["mix_key", "size"]).where(F.pmod("use", "rows") == F.col("n"))
-    return met.repartitionByRange("slot", "mix_key", "use").sortWithinPartitions("slot", "mix_key", "use").select("doc.*")
+    runs = met.repartitionById(tasks, F.floor(F.col("slot") * tasks / F.lit(last + 1)).cast("int"))
+    return runs.sortWithinPartitions("slot", "mix_key", "use").select("doc.*")
 
 
 def op5_sql(block: int = BLOCK) -> str:
