@@ -19,14 +19,18 @@ from ombra.llm.common import documents, written
 from ombra.plans.shared import forget, passing
 
 
+#: Words of a shingle and fingerprints of a document in the near-duplicate stage.
+SHINGLE, PRINTS = 5, 2
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, trained on these, doesn't reject."""
     return langid.accepted(docs, langid.fit(docs, ~langid.held_out()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id; of texts with that id, the one that hashes lowest. Rows with a null id stay."""
-    found = simhash.near_duplicates(docs).where("id is not null")
+    """One document of each group that any of their fingerprints link: the one with the smallest id; of texts with that id, the one that hashes lowest. Rows with a null id stay."""
+    found = simhash.near_duplicates(docs, size=SHINGLE, prints=PRINTS).where("id is not null")
     first = found.groupBy("group").agg(F.min(F.struct("id", "key")).alias("first")).select("first.id", "first.key").distinct()
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), simhash.text_key().alias("own_key"), F.col("text").alias("text"))
     kept = rows.join(first, (F.col("own") == F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
