@@ -54,8 +54,8 @@ KEY = "order-1"
 ROUNDS = 4
 #: Bits of a document's hash that name its bucket.
 BUCKET = 16
-#: Shards that a task writes at least, where there are more tasks than cores.
-RUN = 16
+#: Shards that a task writes, while there are no more tasks than a driver bears; bytes of a row group, which a reader takes at once.
+RUN, TASKS, GROUP = 4, 50_000, 1 << 24
 
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _encodings: dict[str, tiktoken.Encoding] = {}
@@ -172,7 +172,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = map_rows(sequences, ["id", "ids", "number"], "shard long, slot long, record binary", records)
     shards = -(-total // shard)
-    tasks = max(1, -(-shards // RUN), min(shards, docs.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(1, min(-(-shards // RUN), TASKS), min(shards, docs.sparkSession.sparkContext.defaultParallelism))
     # whole runs of shards by partition: slots are evenly spread, so the ranges need no sample
     dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(max(1, shards))).cast("int"))
     schema = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("records", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield done()
 
     out = dealt.sortWithinPartitions("slot").mapInArrow(run, "shard long, first long, records long, crc32 long, payload binary")
-    return written(out, "shards", compression="zstd")[0], total
+    return written(out, "shards", compression="zstd", **{"parquet.block.size": str(GROUP)})[0], total
 
 
 def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None, shard: int = SHARD) -> DataFrame:
