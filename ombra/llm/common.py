@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ombra.plans.shared import forget, prefix_sums, spread, written
 
-__all__ = ["components", "documents", "forget", "map_rows", "prefix_sums", "spread", "text_bytes", "to_batch", "written"]
+__all__ = ["components", "documents", "forget", "given_back", "map_rows", "prefix_sums", "spread", "text_bytes", "to_batch", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +33,23 @@ def map_rows(df: DataFrame, columns: list[str | Column], schema: str, rows: Call
                 found = iter(rows(*(c.to_pylist() for c in batch.slice(at, 512).columns)))
                 while part := list(islice(found, 512)):
                     yield to_batch(part, arrow)
+            del batch
+        given_back()
 
     picked = [(F.col(c) if isinstance(c, str) else c).alias(f"c{n}") for n, c in enumerate(columns)]
     return df.select(*picked).mapInArrow(run, kind)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def given_back() -> None:
+    """Let the system have what a task's batches held: between tasks a worker waits, and the machine's other processes need it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

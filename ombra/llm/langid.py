@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ombra.llm.common import documents, map_rows
+from ombra.llm.common import documents, given_back, map_rows
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows a language, and languages, the most frequent ones.
@@ -308,5 +308,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 yield part.filter(pa.array([not rejected for *_, rejected in shared.value.predict(part.column(at).to_pylist())], pa.bool_()))
+        given_back()
 
     return docs.mapInArrow(run, docs.schema)
