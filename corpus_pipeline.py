@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ombra.llm import langid, mixing, pieces, secrets, simhash
 from ombra.llm.common import documents, written
-from ombra.plans.shared import forget, passing
+from ombra.plans.shared import forget, large, passing
 
 
 #: Words of a shingle and fingerprints of a document in the near-duplicate stage.
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(docs, size=SHINGLE, prints=PRINTS).where("id is not null")
     first = found.groupBy("group").agg(F.min(F.struct("id", "key")).alias("first")).select("first.id", "first.key").distinct()
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), simhash.text_key().alias("own_key"), F.col("text").alias("text"))
-    kept = rows.join(first, (F.col("own") == F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    kept = rows.join(large(first), (F.col("own") == F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
     # equal rows are one document
     kept = kept.withColumn("n", F.row_number().over(W.partitionBy("own", "own_key").orderBy("text"))).where("n = 1")
     return kept.unionByName(rows.where("own is null").withColumn("n", F.lit(1))).select("doc.*")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ombra.plans.shared import forget, prefix_sums, spread, written
+from ombra.plans.shared import forget, large, prefix_sums, spread, written
 
-__all__ = ["components", "documents", "forget", "given_back", "map_rows", "prefix_sums", "spread", "text_bytes", "to_batch", "written"]
+__all__ = ["components", "documents", "forget", "given_back", "large", "map_rows", "prefix_sums", "spread", "text_bytes", "to_batch", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while seen[0]:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(a < b).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, large_path = written(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
+        star = both.where(a < b).join(large(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        star, star_path = written(star, name)
+        low = star.groupBy("a").agg(F.min("b").alias("m"))
+        small = star.join(large(low), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
         now, next_path = written(small, name)
-        forget(spark, path, large_path)
+        forget(spark, path, star_path)
         path, before = next_path, seen
         seen = now.select(mark).first()[0]
         if seen == before:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ombra.llm.common import documents, prefix_sums, written
+from ombra.llm.common import documents, large, prefix_sums, written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -151,10 +151,10 @@ def mixture(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: s
     used = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + overlap(r) * r["times"])
     uses = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + F.when(counted(r), r["times"]).otherwise(F.lit(0)))
     met = F.array_min(F.transform(F.filter("runs", lambda r: overlap(r) > 0), lambda r: r["slot"]))
-    found = pieces.join(runs, ["position", "block"]).select("position", "row", used.alias("used"), uses.alias("uses"), met.alias("slot"))
+    found = pieces.join(large(runs), ["position", "block"]).select("position", "row", used.alias("used"), uses.alias("uses"), met.alias("slot"))
     found = found.groupBy("position", "row").agg(F.sum("used").alias("used"), F.sum("uses").alias("uses"), F.min("slot").alias("first_slot"))
     found = found.select("position", F.col("row.mix_key").alias("mix_key"), F.col("row.begin").alias("begin"), F.col("row.size").alias("size"), "used", "uses", "first_slot")
-    whole = placed.drop("row").join(found, ["position", "mix_key", "begin", "size"], "left")
+    whole = placed.drop("row").join(large(found), ["position", "mix_key", "begin", "size"], "left")
     when = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
     names = ("id", "source", "size", "mix_key", "begin", "source_size", "target", "position")
     return whole.select(*names, when("used").alias("taken"), F.when(F.col("size") > 0, F.coalesce("first_slot", F.lit(-1))).otherwise(F.lit(-1)).cast("long").alias("first_slot"), when("uses").alias("n_uses")), slots
@@ -173,12 +173,12 @@ def mixed(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str
     uses = found.where("size > 0").select("mix_key", "size", "begin", "source_size", "position", times.alias("times")).where("times > 0")
     uses = uses.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn"))
     # each use of a key gets a number, so that rows that share a key share its uses
-    uses = uses.select("*", F.floor((F.col("turn") * F.col("source_size") + F.col("begin")) / block).alias("rank")).join(slots, ["position", "rank"])
+    uses = uses.select("*", F.floor((F.col("turn") * F.col("source_size") + F.col("begin")) / block).alias("rank")).join(large(slots), ["position", "rank"])
     each = W.partitionBy("mix_key", "size")
     uses = uses.select("mix_key", "size", "slot", (F.row_number().over(each.orderBy("slot", "begin")) - 1).alias("use"))
     rows = docs.select(mix_key(id_col).alias("mix_key"), size_of(F.col(text_col)).alias("size"), F.struct("*").alias("doc"))
     rows = rows.select("*", (F.row_number().over(each.orderBy(F.xxhash64("doc"))) - 1).alias("n"), F.count(F.lit(1)).over(each).alias("rows"))
-    met = rows.join(uses, ["mix_key", "size"]).where(F.pmod("use", "rows") == F.col("n"))
+    met = rows.join(large(uses), ["mix_key", "size"]).where(F.pmod("use", "rows") == F.col("n"))
     runs = met.repartitionById(tasks, F.floor(F.col("slot") * tasks / F.lit(last + 1)).cast("int"))
     return runs.sortWithinPartitions("slot", "mix_key", "use").select("doc.*")
 

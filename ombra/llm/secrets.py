@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ombra.llm.common import documents, map_rows, written
+from ombra.llm.common import documents, large, map_rows, written
 
 #: The base kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -101,10 +101,10 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str
     scanned, _ = written(scan(docs, repository, owner, id_col, text_col), "secrets")
     owned, _ = written(ownership(scanned), "secrets")
     spans = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f"))
-    spans = spans.join(owned, F.col("f.hash") == F.col("hash")).where((F.col("f.kind") != "token") | (F.col("class") == "live"))
+    spans = spans.join(large(owned), F.col("f.hash") == F.col("hash")).where((F.col("f.kind") != "token") | (F.col("class") == "live"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("f.kind"))
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("f.start").alias("start"), order.alias("order"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), "hash", "n_repositories", "n_owners", "class"))).alias("spans"))
-    whole = scanned.select("row", "id").join(spans, "row", "left")
+    whole = scanned.select("row", "id").join(large(spans), "row", "left")
     return whole.select("row", "id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
@@ -137,12 +137,12 @@ def redacted(docs: DataFrame, repository: Column, owner: Column, id_col: str = "
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     scanned, _ = written(scan(docs, repository, owner, id_col, text_col, key), "secrets")
     owned, _ = written(ownership(scanned), "secrets")
-    spans = scanned.where(F.size("found") > 0).select("row", "id", F.explode("found").alias("f")).join(owned, F.col("f.hash") == F.col("hash"))
+    spans = scanned.where(F.size("found") > 0).select("row", "id", F.explode("found").alias("f")).join(large(owned), F.col("f.hash") == F.col("hash"))
     spans = spans.where(F.when(F.col("f.kind") == "token", F.col("class") == "live").otherwise(F.col("class") != "example"))
     masks = spans.groupBy("row", "id").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end")))).alias("masks"))
     # the input's columns stay in a struct, so none of their names can clash
     rows = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.col(id_col).cast("long").alias("own"))
-    rows = rows.join(masks, F.col("key").eqNullSafe(F.col("row")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    rows = rows.join(large(masks), F.col("key").eqNullSafe(F.col("row")) & F.col("own").eqNullSafe(F.col("id")), "left")
     doc = lambda c: F.col("doc")[c]
     rows = rows.withColumn("new", mask(doc(text_col), F.col("masks.start"), F.col("masks.end")))
     changed = {text_col: F.col("new")}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ombra.llm.common import components, documents, map_rows, text_bytes, written
+from ombra.llm.common import components, documents, large, map_rows, text_bytes, written
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Rows under keys that are compared in one go, rows of a chunk of a key with more, and queries asked at once.
@@ -190,7 +190,7 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
     keyed = prints.select(F.explode(F.array(*keys)).alias("key"), "fp", "node", F.col("turn").cast("long").alias("turn"))
     counts = keyed.groupBy("key").count().where("count > 1")
     chunks = F.ceil(F.col("count") / F.lit(CHUNK)).cast("int")
-    met = keyed.join(counts, "key").select("key", "fp", "node", "turn", chunks.alias("n"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("c"))
+    met = keyed.join(large(counts), "key").select("key", "fp", "node", "turn", chunks.alias("n"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("c"))
     one = met.where("n = 1").select("turn", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "node")
     hot = met.where("n > 1").select("key", "fp", "node", "turn", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     dealt = one.unionByName(hot.select("turn", "key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "fp", "node"))
@@ -245,15 +245,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts, _ = written(each.groupBy("turn", "fp").agg(F.min("node").alias("node")), "simhash")
     edges = links(firsts, radius)
     if prints > 1:
-        same = each.join(firsts.withColumnRenamed("node", "first"), ["turn", "fp"]).where("node <> first")
+        same = each.join(large(firsts.withColumnRenamed("node", "first")), ["turn", "fp"]).where("node <> first")
         edges = edges.union(same.select(F.col("node").alias("a"), F.col("first").alias("b")))
     tied = components(edges, "simhash").select(F.col("node").alias("own"), "component")
-    of = classes.join(tied, F.col("node") == F.col("own"), "left").select("fps", "rep", F.coalesce("component", "node").alias("group"))
+    of = classes.join(large(tied), F.col("node") == F.col("own"), "left").select("fps", "rep", F.coalesce("component", "node").alias("group"))
     lowest = of.groupBy("group").agg(F.min("rep").alias("component"))
     # written, so that adaptive execution may split the join where a fingerprint is hot
-    of, _ = written(of.join(lowest, "group").select("fps", "group", "component"), "simhash")
+    of, _ = written(of.join(large(lowest), "group").select("fps", "group", "component"), "simhash")
     linked = F.col("id").isNotNull()
-    whole = found.join(of, "fps", "left")
+    whole = found.join(large(of), "fps", "left")
     return whole.select("id", F.get("fps", F.lit(0)).alias("fp"), "key", F.when(linked, F.col("component")).alias("component"), F.when(linked, F.col("group")).alias("group"))
 
 

@@ -68,3 +68,9 @@ def test_near_duplicate_stage_keeps_clean_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len(rows)
     assert mixing.mixed(docs.where(F.col("doc_id") < 30), F.col("source")).count() == 30
+
+
+def test_stages_send_no_large_table_to_the_driver(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.secret_scan):
+        assert "BroadcastHashJoin" not in stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
