@@ -10,7 +10,7 @@ from ombra.operators.native import detected
 from ombra.operators.spans import analyse
 from ombra.config import Config
 from ombra.plans.anonymise import anonymise
-from ombra.plans.blocks import candidates
+from ombra.plans.blocks import candidates, windows
 from tests.helpers import CONFIG, EVERYTHING, card, iban, tax_code, vat
 
 RNG = random.Random(9)
@@ -229,3 +229,16 @@ def test_restoring_rows_of_one_id_by_text(spark):
     assert all((r.restored == []) == (r.warnings != []) for r in back.collect())
     # no row meets the placeholders of all rows with its id
     assert not [x for x in back._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x and "doc_id" in x]
+
+
+def test_small_blocks_are_read_in_runs_by_all_cores(spark):
+    text = f"x {IBAN} y " * 3000
+    read = windows(text, 97)
+    assert sum(len(w["window"]) for w in read) < 3 * len(text) and len(read) > 10
+    assert "".join(w["window"][w["lead"] : w["lead"] + w["size"]] for w in read) == text
+    docs = spark.createDataFrame([("s", 1, text)], "session_id string, doc_id long, text string").coalesce(1)
+    found = candidates(docs, CONFIG, 97)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    ibans = found.where("entity_type = 'IT_IBAN'")
+    each = len(f"x {IBAN} y ")
+    assert sorted(r.start for r in ibans.collect()) == [2 + each * n for n in range(3000)]
